@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import chat_formatting, exact_dedup, mixing, sharding, token_counts
+from tallystone.llm import chat_formatting, exact_dedup, language_id, mixing, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.query,
+        "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
         "op5_sharding": sharding.query,
         "op7_chat_formatting": chat_formatting.query,
         "op8_exact_dedup": exact_dedup.query,
+        "op9_toxicity": toxicity.query,
     }
 
 
