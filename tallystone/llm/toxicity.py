@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallystone.session import table
 
@@ -225,7 +226,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("tox_score", "tox_predicted")
     sent = spark.sparkContext.broadcast(model)  # one table of 2^TABLE_BITS floats
     place = docs.columns.index("text")
-    schema = docs.schema.add("tox_score", "double").add("tox_predicted", "int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType()), T.StructField("tox_predicted", T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
