@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import chat_formatting, exact_dedup, language_id, mixing, sharding, token_counts, toxicity
+from tallystone.llm import chat_formatting, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
         "op5_sharding": sharding.query,
+        "op6_near_dedup": near_dedup.query,
         "op7_chat_formatting": chat_formatting.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_toxicity": toxicity.query,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.ORACLE_SQL,
+        "op6_near_dedup": near_dedup.ORACLE_SQL,
         "op7_chat_formatting": chat_formatting.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     }
