@@ -109,6 +109,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text; all columns stay), each as often as the mix takes it."""
+    keys = ["doc_id", "source", "size"]
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    # rows equal in all three are interchangeable in the queue: they are told apart by number
+    taken = mix_sources(docs, **options).withColumn("nth", nth(F.col("copies").desc())).alias("t")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("digest")).withColumn("nth", nth("digest")).alias("d")
+    same = F.col("d.nth") == F.col("t.nth")
+    for k in keys:
+        same &= F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}"))
+    return rows.join(taken, same).filter("t.copies > 0").select("d.row", F.explode(F.array_repeat(F.lit(0), F.col("t.copies").cast("int")))).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallystone.llm.shingles import shingle_sets, signature
 from tallystone.operators.components import connected_components
@@ -197,6 +198,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """One row of ``docs`` (doc_id, text; all columns stay) of each near-duplicate group: the one with
+    the least doc_id, of several rows with that id the one with the least text. Rows with a null id
+    stay."""
+    kept = near_duplicates(docs, width, threshold).filter("kept and doc_id is not null").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    # the window uses the join's partitions
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).withColumn("_first", first).filter("_first = 1").drop("_first")
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=80)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import chat_formatting, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, toxicity
+from tallystone.llm import chat_formatting, decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.query,
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
+        "op4_decontamination": decontamination.query,
         "op5_sharding": sharding.query,
         "op6_near_dedup": near_dedup.query,
         "op7_chat_formatting": chat_formatting.query,
