@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import chat_formatting, decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, token_counts, toxicity
+from tallystone.llm import chat_formatting, decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_formatting": chat_formatting.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_toxicity": toxicity.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
