@@ -1,0 +1,23 @@
+"""Joins whose smaller side is broadcast only once its size is known."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each that every executor can hold.
+BROADCAST_ROWS = 1_000_000
+
+
+def semi_or_anti(rows: DataFrame, ids: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with (``left_semi``) or without (``left_anti``) a match in ``ids``, nulls equal to nulls.
+
+    ``ids`` has the columns ``on`` and should be cheap to count, such as a written table. Up to
+    ``most`` rows it is broadcast, so that wide rows need no shuffle; beyond, both sides are shuffled.
+    """
+    ids = ids.select([F.col(c).alias(f"_{c}") for c in on])
+    same = F.lit(True)
+    for c in on:
+        same &= rows[c].eqNullSafe(F.col(f"_{c}"))
+    small = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if small else ids, same, how)
