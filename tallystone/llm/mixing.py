@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     totals = queued.agg(F.sum("size").alias("budget"), F.sum(F.col("size") * inside).alias("used")).first()
     left = (totals["budget"] or 0) - (totals["used"] or 0)
 
-    late = queued.select("doc_id", "size", "queue_key", F.explode(F.filter(F.array(*[f / F.col("target") for f in finish]), lambda v: v > 1)).alias("v")).filter("size > 0").withColumn("slice", F.least(F.floor(F.col("v") * SLICES), F.lit(4 * SLICES)))
+    late = queued.select("doc_id", "size", "queue_key", F.explode(F.filter(F.array(*[F.try_divide(f, F.col("target")) for f in finish]), lambda v: v > 1)).alias("v")).filter("size > 0").withColumn("slice", F.least(F.floor(F.col("v") * SLICES), F.lit(4 * SLICES)))
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counted = late.groupBy("slice").agg(F.sum("size").alias("slice_size")).withColumn("ahead", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
     last = counted.filter(F.col("ahead") <= left).agg(F.max(F.struct("slice", "ahead")).alias("m")).first()["m"]
@@ -95,7 +95,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
         final = late.filter(F.col("slice") == last["slice"]).withColumn("sum", F.sum("size").over(upto)).filter(F.col("sum") <= left - last["ahead"]).agg(F.max(place).alias("m")).first()["m"]
 
         def late_copy(f: Column) -> Column:
-            v = f / F.col("target")
+            v = F.try_divide(f, F.col("target"))
             early = F.least(F.floor(v * SLICES), F.lit(4 * SLICES)) < last["slice"]
             if final is None:
                 return (v > 1) & early
