@@ -134,7 +134,7 @@ def swapped_sentences(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_
     return out
 
 
-def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty: float = 1.0, epochs: int = 20, batch: int = 48, rate: float = 0.12, heard: float = 0.4, decay: float = 1e-6, seed: int = 5) -> Model:
+def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty: float = 1.0, epochs: int = 20, least_steps: int = 400, batch: int = 48, rate: float = 0.12, heard: float = 0.4, decay: float = 1e-6, seed: int = 5) -> Model:
     """Adagrad over mini-batches: likelihood of the labels plus ``penalty`` times the squared change
     of the log-odds under swaps. Of a toxic text each step hears only a share ``heard`` of the words,
     drawn anew: else one known insult explains the label and those beside it are never learned.
@@ -176,7 +176,7 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
         bias_spread += bias_grad**2
         bias = min(-4.0, bias - rate * bias_grad / bias_spread**0.5)
 
-    for _ in range(epochs if len(texts) else 0):
+    for _ in range(max(epochs, -(-least_steps * batch // len(texts))) if texts else 0):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
