@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from tallystone.llm.shingles import shingle_sets, signature
 from tallystone.operators.components import connected_components
+from tallystone.operators.sized import semi_or_anti
 from tallystone.session import table, written
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 10, 5, 1
@@ -109,16 +110,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, threshold: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs of different components under keys that hold several, near enough by signature.
 
-    ``members``: key, doc_id, component, n_shingles, symbols. A key's members are dealt to blocks of
+    ``members``: key, doc_id, component. A key's members are dealt to blocks of
     about CELL; each pair of blocks is a cell, compared at once; only near pairs leave it.
     """
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo < hi").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     spread = (
         members.join(keys, "key")
+        .join(sets.select("doc_id", "n_shingles", "symbols"), "doc_id")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n_shingles", "symbols")
@@ -176,19 +178,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     filed = sets.select("doc_id", _keys().alias("key"))
 
     heads = filed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    stars = heads.join(filed, "key").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    # most keys are one document's: what goes on is small
+    shared = written(filed.join(heads, "key").select("key", "a", "doc_id"), "near-keys")
+    stars = shared.select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     stars = written(_with_signatures(stars, sets).filter(_near(threshold)).select("a", "b").distinct(), "near-stars")
-    involved = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
     # one node of equal sets may stand for several ids; its own text is enough
-    texts = lambda pairs: words.join(involved(pairs), "doc_id", "left_semi")
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
+        return written(semi_or_anti(words, ids, ["doc_id"], "left_semi"), "near-texts")
 
-    star_texts = written(texts(stars), "near-texts")
-    linked = written(_confirmed(stars, star_texts, width, threshold), "near-linked")
+    linked = written(_confirmed(stars, texts(stars), width, threshold), "near-linked")
     first = written(connected_components(linked), "near-components")
 
-    members = filed.join(sets, "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = written(_cross_pairs(members, threshold), "near-rest")
+    members = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rest = written(_cross_pairs(members, sets, threshold), "near-rest")
     more = written(_confirmed(rest, texts(rest), width, threshold), "near-linked")
     whole = connected_components(linked.union(more).union(same_id.join(signed.filter("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct("set_digest").alias("d")).filter("d > 1").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
 

@@ -18,6 +18,8 @@ from tallystone.functions.text import label_similarity
 # Which source wins.
 SOURCE_RANK = {"type_details": 5, "financial_obligation": 4, "fee_item": 3, "penalty_item": 3, "extracted_number": 2}
 CONFIDENCE_RANK = {"high": 3, "medium": 2, "low": 1}
+# Special amounts of which a contract may state several.
+REPEATED = ("statedTotalCost", "salaryComponent")
 # What is never a payment obligation.
 EXCLUDED_ROLES = ("asset_value", "principal", "reference_value", "scenario_balance", "scenario_payment", "credit_limit", "coverage_limit", "income", "conditional_income", "non_cash_benefit")
 EXCLUDED_CONTEXTS = ("early_settlement_scenario", "default_scenario", "cancellation_scenario", "insurance_claim_scenario", "reference_only")
@@ -169,12 +171,16 @@ def priority() -> list[Column]:
 
 
 def conflict_slot() -> Column:
+    """What a candidate is the value of; stated totals and salary components may stand side by side."""
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return F.concat_ws("|", part("target_kind"), part("category"), part("currency"), part("frequency"), label_key(F.col("label")))
+    special = F.concat_ws("|", F.lit("special"), part("special_key"), F.when(F.col("special_key").isin(*REPEATED), label_key(F.col("label"))))
+    plain = F.concat_ws("|", part("target_kind"), part("category"), part("currency"), part("frequency"), label_key(F.col("label")))
+    return F.when(F.col("target_kind") == "special", special).otherwise(plain)
 
 
 def resolve_conflicts(candidates: DataFrame) -> DataFrame:
-    """The winner of each slot, with ``rivals`` (other candidates) and ``conflict``: whether amounts differ."""
+    """The winner of each slot, with ``rivals`` (other candidates), ``conflict`` (whether amounts differ)
+    and ``position``, where the slot first came up."""
     slot = Window.partitionBy(BY, "_slot")
     rows = candidates.withColumn("_slot", conflict_slot())
     # a null amount is a value of its own here
@@ -182,7 +188,7 @@ def resolve_conflicts(candidates: DataFrame) -> DataFrame:
     filled = F.count("amount").over(slot)
     n = F.count("*").over(slot)
     differ = _is(lo != hi) | ((filled > 0) & (filled < n))
-    rows = rows.withColumn("rivals", n - 1).withColumn("conflict", differ).withColumn("_n", F.row_number().over(slot.orderBy(*priority())))
+    rows = rows.withColumn("position", F.min("ordinal").over(slot)).withColumn("rivals", n - 1).withColumn("conflict", differ).withColumn("_n", F.row_number().over(slot.orderBy(*priority())))
     return rows.filter("_n = 1").drop("_n", "_slot")
 
 
@@ -194,7 +200,7 @@ def deduplicate(candidates: DataFrame) -> DataFrame:
     unnamed category need a word of their labels in common. Compatibility with unstated values isn't
     transitive, so this is a fold over the (few) candidates of one contract, in one expression.
     """
-    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("target_kind", "category", "frequency", "currency")], F.coalesce(F.format_string("%.2f", F.col("amount")), F.lit("null")))
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("target_kind", "special_key", "category", "frequency", "currency")], F.coalesce(F.format_string("%.2f", F.col("amount")), F.lit("null")))
     ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(BY).orderBy(*priority()))).withColumn("_key", key)
     member = F.struct("ordinal", "_rank", "mandatory", "conditional", "start_date", "category", "label")
     groups = ranked.groupBy(BY, "_key").agg(F.array_sort(F.collect_list(member)).alias("_m"))

@@ -166,7 +166,7 @@ def currency_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).withColumns({"target_kind": F.lit("obligation"), "evidence": F.col("label"), "source_field": F.col("id"), "start_date": F.lit(None).cast("date"), "amount": F.round("amount", -4)})
+    return _items(spark, d).withColumns({"target_kind": F.lit("obligation"), "special_key": F.lit(None).cast("string"), "evidence": F.col("label"), "source_field": F.col("id"), "start_date": F.lit(None).cast("date"), "amount": F.round("amount", -4)})
 
 
 def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
