@@ -63,10 +63,10 @@ def stored_fingerprints(chunks: DataFrame, source_id: str) -> DataFrame:
 
 def manifest_violations(manifest: DataFrame, hosts: list[str]) -> DataFrame:
     """source_id, violation: repeated ids, missing titles, and addresses off the official hosts."""
-    n = F.count("*").over(Window.partitionBy("source_id"))
+    manifest = manifest.select("source_id", "document_title", "official_source_url", F.count("*").over(Window.partitionBy("source_id")).alias("_n"))
     host = F.lower(F.try_parse_url(F.col("official_source_url"), F.lit("HOST")))
     official = F.lit(False)
     for h in hosts:
         official |= (host == h) | F.endswith(host, F.lit("." + h))
-    found = F.array_compact(F.array(F.when(n > 1, "duplicate_id"), F.when(F.coalesce(F.trim("document_title"), F.lit("")) == "", "missing_title"), F.when(~F.coalesce(official, F.lit(False)), "unofficial_url")))
+    found = F.array_compact(F.array(F.when(F.col("_n") > 1, "duplicate_id"), F.when(F.coalesce(F.trim("document_title"), F.lit("")) == "", "missing_title"), F.when(~F.coalesce(official, F.lit(False)), "unofficial_url")))
     return manifest.select("source_id", F.explode(found).alias("violation")).distinct()
