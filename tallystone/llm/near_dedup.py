@@ -8,7 +8,8 @@ A pair at a similarity of 0.8 exactly meets with a probability of 1 - 1.6e-6, a
 
 No key lists its pairs. The least document of a key is compared with each of the others first, which
 settles groups of copies; only keys that still hold several components are compared throughout, in
-cells of bounded size.
+cells of bounded size. There a pair counts under the first key that it shares alone, and a sketch (the
+SKETCH least hashes of a set, all of a smaller one) settles most pairs that are close, but not enough.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ FARTHEST = 28
 #: Members of a key that one cell compares with as many others.
 CELL = 256
 _SETS_AT_ONCE = 256
+#: Hashes in a sketch, and how many standard deviations below the threshold its estimate may lie.
+SKETCH, DEVIATIONS = 256, 5
+#: Places of a signature that each key of a document takes in.
+KEYS = tuple(kept for c in range(CHUNKS) for kept in combinations(range(c * CHUNK_SYMBOLS, (c + 1) * CHUNK_SYMBOLS), CHUNK_SYMBOLS - ERRORS))
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
@@ -45,21 +50,17 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(piece.column(1).to_pylist(), width)
                 digests = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 symbols = [signature(s, SYMBOLS) if len(s) else None for s in sets]
+                sketches = [(s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(symbols, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "set_digest", "symbols"],
+                    [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(symbols, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "n_shingles", "set_digest", "symbols", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_digest binary, symbols array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_digest binary, symbols array<int>, sketch binary")
 
 
 def _keys() -> Column:
-    out = []
-    for chunk in range(CHUNKS):
-        at = range(chunk * CHUNK_SYMBOLS, (chunk + 1) * CHUNK_SYMBOLS)
-        for kept in combinations(at, CHUNK_SYMBOLS - ERRORS):
-            out.append(F.xxhash64(F.lit(chunk), *[F.lit(k) for k in kept], *[F.col("symbols")[k] for k in kept]))
-    return F.explode(F.array(*out))
+    return F.posexplode(F.array(*[F.xxhash64(F.lit(n), *[F.col("symbols")[k] for k in kept]) for n, kept in enumerate(KEYS)]))
 
 
 def _near(threshold: int) -> Column:
@@ -110,35 +111,61 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components under keys that hold several, near enough by signature.
+def _alike(sketches: np.ndarray, n: np.ndarray, one: int, others: np.ndarray, threshold: int) -> np.ndarray:
+    """Which of ``others`` the sketch of ``one`` leaves possible: up to the end of the shorter of two
+    sketches that were cut, both show all their sets have; uncut sketches show all there is."""
+    ends = np.where(n > SKETCH, sketches[:, -1], 1 << 39)
+    upto = np.minimum(ends[others], ends[one])[:, None]
+    mine, rows = sketches[one], sketches[others]
+    common = ((mine[np.minimum(np.searchsorted(mine, rows), SKETCH - 1)] == rows) & (rows <= upto)).sum(1)
+    union = (rows <= upto).sum(1) + (mine <= upto).sum(1) - common
+    share = threshold / 100
+    cut = upto[:, 0] < 1 << 39
+    return common + 1 >= union * (share - cut * DEVIATIONS * (share * (1 - share) / SKETCH) ** 0.5)
 
-    ``members``: key, doc_id, component. A key's members are dealt to blocks of
-    about CELL; each pair of blocks is a cell, compared at once; only near pairs leave it.
+
+def _cross_pairs(members: DataFrame, sets: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of different components under keys that hold several, near enough by signature and sketch.
+
+    ``members``: key, slot, doc_id, component. A key's members are dealt to blocks of about CELL; each
+    pair of blocks is a cell, compared at once; only near pairs leave it, each under one key.
     """
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo < hi").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    mixed = written(members.join(keys, "key"), "near-mixed")
+    # of rows with equal id and set, one
+    shown = sets.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_digest", "n_shingles", "symbols").join(signed.select("doc_id", "set_digest", "sketch"), ["doc_id", "set_digest"])
+    shown = shown.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "symbols", "sketch")])
     spread = (
-        members.join(keys, "key")
-        .join(sets.select("doc_id", "n_shingles", "symbols"), "doc_id")
+        mixed.join(written(shown, "near-shown"), "doc_id")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n_shingles", "symbols")
+        .select("key", "slot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n_shingles", "symbols", "sketch")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
 
+    kept_by_key = np.array([[place in kept for place in range(SYMBOLS)] for kept in KEYS], np.float32)
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             doc, comp, n = (cell.column(k).to_numpy() for k in ("doc_id", "component", "n_shingles"))
             symbols = cell.column("symbols").combine_chunks().flatten().to_numpy().reshape(len(doc), SYMBOLS)
-            i, j, block = (cell.column(k).to_numpy() for k in ("i", "j", "block"))
+            i, j, block, slot = (cell.column(k).to_numpy() for k in ("i", "j", "block", "slot"))
+            sketches = np.full((len(doc), SKETCH), 1 << 40)
+            for r, sketch in enumerate(cell.column("sketch").to_pylist()):
+                sketches[r, : len(sketch) // 4] = np.frombuffer(sketch, "<u4")
             found = []
             for r in range(len(doc)):
                 ok = (doc > doc[r]) & (comp != comp[r]) & ((i[r] == j[r]) | (block != block[r]))
                 ok &= np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * threshold
                 at = np.flatnonzero(ok)
-                at = at[(symbols[at] != symbols[r]).sum(1) <= FARTHEST]
+                same = symbols[at] == symbols[r]
+                near = SYMBOLS - same.sum(1) <= FARTHEST
+                at, same = at[near], same[near]
+                first = (same.astype(np.float32) @ kept_by_key.T == CHUNK_SYMBOLS - ERRORS).argmax(1) == slot[r]
+                at = at[first]
+                at = at[_alike(sketches, n, r, at, threshold)]
                 found.append((np.full(len(at), doc[r]), doc[at]))
             return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -175,11 +202,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     # equal sets are one node from here on
     sets = written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("symbols").alias("symbols")), "near-sets")
     same_id = signed.filter("n_shingles > 0").select(F.col("doc_id").alias("b"), "set_digest").join(sets.select(F.col("doc_id").alias("a"), "set_digest"), "set_digest").select("a", "b").filter("a <> b")
-    filed = sets.select("doc_id", _keys().alias("key"))
+    filed = sets.select("doc_id", _keys().alias("slot", "key"))
 
     heads = filed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     # most keys are one document's: what goes on is small
-    shared = written(filed.join(heads, "key").select("key", "a", "doc_id"), "near-keys")
+    shared = written(filed.join(heads, "key").select("key", "slot", "a", "doc_id"), "near-keys")
     stars = shared.select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     stars = written(_with_signatures(stars, sets).filter(_near(threshold)).select("a", "b").distinct(), "near-stars")
 
@@ -193,8 +220,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     linked = written(_confirmed(stars, texts(stars), width, threshold), "near-linked")
     first = written(connected_components(linked), "near-components")
 
-    members = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rest = written(_cross_pairs(members, sets, threshold), "near-rest")
+    members = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "slot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    rest = written(_cross_pairs(members, sets, signed, threshold), "near-rest")
     more = written(_confirmed(rest, texts(rest), width, threshold), "near-linked")
     whole = connected_components(linked.union(more).union(same_id.join(signed.filter("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct("set_digest").alias("d")).filter("d > 1").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
 
