@@ -246,7 +246,7 @@ def text_classification(spark: SparkSession, d: str) -> DataFrame:
     label = F.concat_ws(" ", F.col("p_name"), F.element_at(F.array(*[F.lit(x) for x in _SAMPLES]), (F.col("p_partkey") % len(_SAMPLES) + 1).cast("int")))
     t = table(spark, d, "part").select("p_partkey", label.alias("t"))
     f = M.frequency_of(F.col("t"))
-    return t.select("p_partkey", f.alias("frequency"), M.obligation_type(f, F.col("t")).alias("obligation"), M.fee_type(F.col("t")).alias("fee"), M.penalty_type(F.col("t")).alias("penalty"), M.mandatory_in(F.col("t")).alias("mandatory"), M.conditional_in(F.col("t")).alias("conditional"), M.timing_in(F.col("t")).alias("timing"), M.refundable_in(F.col("t")).alias("refundable"), M.scenario_in(F.col("t")).alias("scenario"))
+    return t.select("p_partkey", f.alias("frequency"), M.obligation_type(f, F.col("t")).alias("obligation"), M.fee_type(F.col("t")).alias("fee"), M.penalty_type(F.col("t")).alias("penalty"), M.mandatory_in(F.col("t")).cast("string").alias("mandatory"), M.conditional_in(F.col("t")).cast("string").alias("conditional"), M.timing_in(F.col("t")).alias("timing"), M.refundable_in(F.col("t")).cast("string").alias("refundable"), M.scenario_in(F.col("t")).alias("scenario"))
 
 
 _SAMPLES = (
@@ -271,8 +271,8 @@ def _classify_sql() -> str:
 f AS (SELECT *, {_lists_sql(L.FREQUENCIES)} AS frequency FROM x)
 SELECT p_partkey, frequency, coalesce({_lists_sql(L.OBLIGATION_TYPES)}, CASE WHEN frequency IN ('daily', 'weekly', 'monthly', 'quarterly', 'semi_annual', 'annual') THEN 'recurring_payment' WHEN frequency = 'one_time' THEN 'one_time_payment' ELSE 'unknown' END) AS obligation,
   {_lists_sql(L.FEE_TYPES, "'other'")} AS fee, {_lists_sql(L.PENALTY_TYPES, "'other'")} AS penalty,
-  CASE WHEN {_words_sql(L.SAYS_MANDATORY)} THEN true WHEN {_words_sql(L.SAYS_OPTIONAL)} THEN false WHEN {cond} THEN NULL ELSE true END AS mandatory, CASE WHEN {cond} THEN true END AS conditional,
-  CASE WHEN {late} THEN 'due_later' WHEN {now} THEN 'due_now' END AS timing, CASE WHEN {_words_sql(L.SAYS_NON_REFUNDABLE)} THEN false WHEN {_words_sql(L.SAYS_REFUNDABLE)} THEN true END AS refundable,
+  CASE WHEN {_words_sql(L.SAYS_MANDATORY)} THEN 'true' WHEN {_words_sql(L.SAYS_OPTIONAL)} THEN 'false' WHEN {cond} THEN NULL ELSE 'true' END AS mandatory, CASE WHEN {cond} THEN 'true' END AS conditional,
+  CASE WHEN {late} THEN 'due_later' WHEN {now} THEN 'due_now' END AS timing, CASE WHEN {_words_sql(L.SAYS_NON_REFUNDABLE)} THEN 'false' WHEN {_words_sql(L.SAYS_REFUNDABLE)} THEN 'true' END AS refundable,
   {_lists_sql(scenario)} AS scenario FROM f"""
 
 
