@@ -54,11 +54,12 @@ def bounded(ranked: DataFrame, order: list[Column], by: list[str] | None = None,
 def search_contract(chunks: DataFrame, query_vector: Column, keywords: Column, top: int = CONTRACT_TOP, ties: str = "chunk_id") -> DataFrame:
     """Hybrid ranking of one session's ``chunks`` (``ties`` id, text, embedding).
 
-    The nearest max(4k, 20) chunks keep their similarity, the others count 0; blended scores of at
+    The nearest max(4k, 20) chunks keep their similarity, the others and those without an embedding
+    count 0; blended scores of at
     least 0.12 are ranked, the best ``top`` give excerpts under the budget. One session's chunks are
     few by contract, so the ranked rows meet in one task.
     """
-    near = vector_top(chunks, query_vector, max(4 * top, 20), ties).select(F.col(ties).alias("_id"), (1 - F.col("distance")).alias("similarity"))
+    near = vector_top(chunks.filter("embedding IS NOT NULL"), query_vector, max(4 * top, 20), ties).select(F.col(ties).alias("_id"), (1 - F.col("distance")).alias("similarity"))
     scored = chunks.join(near, chunks[ties] == near["_id"], "left").withColumn("score", contract_score(F.coalesce("similarity", F.lit(0.0)), keywords))
     ranked = scored.filter(F.col("score") >= LEAST_RELEVANCE).orderBy(F.desc("score"), ties).limit(top)
     return excerpts(ranked, [F.desc("score"), F.col(ties)]).drop("_id", "similarity")
@@ -67,13 +68,13 @@ def search_contract(chunks: DataFrame, query_vector: Column, keywords: Column, t
 def search_legal(chunks: DataFrame, preferred: Column, fallback: Column, query_vector: Column, keywords: Column, exact: Column, top: int | None = None, ties: str = "chunk_id") -> DataFrame:
     """Hybrid ranking over preferred collections, or over fallback ones where no preferred hit reaches 0.12.
 
-    In each scope the nearest 3k and the best 3k by keywords are joined on the id; the preferred boost
-    orders but doesn't lift a hit over the threshold; chunks that ``exact`` marks come first.
+    In each scope the nearest 3k and the best 3k by keywords are joined on the id, so that a chunk
+    without an embedding can still be a keyword hit; the preferred boost orders but doesn't lift a hit over the threshold; chunks that ``exact`` marks come first.
     """
     k = clamp_top(top)
 
     def scope(rows: DataFrame, boost: float) -> DataFrame:
-        near = vector_top(rows, query_vector, 3 * k, ties).select(ties, (1 - F.col("distance")).alias("similarity"))
+        near = vector_top(rows.filter("embedding IS NOT NULL"), query_vector, 3 * k, ties).select(ties, (1 - F.col("distance")).alias("similarity"))
         words = keyword_top(rows, keywords, 3 * k, ties).select(ties, "keywords")
         hits = near.join(words, ties, "full_outer").withColumn("raw", legal_score(F.coalesce("similarity", F.lit(0.0)), F.coalesce("keywords", F.lit(0))))
         return hits.filter(F.col("raw") >= LEAST_RELEVANCE).select(ties, (F.col("raw") + boost).alias("score"), F.lit(boost > 0).alias("is_preferred"))

@@ -164,7 +164,7 @@ SELECT doc_id, round(score, 5) AS score, substr(text, 1, CAST(least(600, room) A
 
 
 def hybrid_legal_search(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _docs(spark, d).join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id").withColumn("article", F.when(F.col("doc_id") % 10 == 9, "article 9"))
+    chunks = _docs(spark, d).join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").withColumn("article", F.when(F.col("doc_id") % 10 == 9, "article 9"))
     words = T.legal_keyword_score(F.col("text"), F.col("article"), F.col("source"), F.lit(QUESTION))
     exact = F.lower("article") == F.lower(T.queried_article(F.lit(QUESTION)))
     hits = retrieval.search_legal(chunks, F.col("source").isin("src1", "src2"), F.col("source").isin("src3"), _query_vector(spark, d), words, exact, ties="doc_id")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import money as M
 from tallystone.functions import text as T
-from tallystone.operators import chunking, components, masking, quality, routing, sessions
+from tallystone.operators import chunking, components, masking, quality, retrieval, routing, sessions
+from tallystone.plans import text_queries
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -111,6 +112,21 @@ def test_sessions(spark):
     assert sorted(map(tuple, sessions.manifest_violations(manifest, ["gov.sa"]).collect())) == [("a", "duplicate_id"), ("a", "missing_title"), ("a", "unofficial_url"), ("b", "unofficial_url")]
 
 
+def test_searches_find_chunks_without_an_embedding(spark, tmp_path):
+    rows = [(1, "nothing of it", [1.0, 0.0]), (2, "fees due at signing", None), (3, "other text", [0.6, 0.8])] + [(i, "far", None) for i in range(4, 50)]
+    chunks = spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>")
+    score = F.when(F.col("doc_id") == 2, 10).otherwise(0)
+    query = F.array(F.lit(1.0), F.lit(0.0))
+    got = {r["doc_id"]: round(r["score"], 3) for r in retrieval.search_contract(chunks, query, score, ties="doc_id").collect()}
+    assert got == {1: 0.65, 2: 0.175, 3: 0.39}
+    hits = retrieval.search_legal(chunks, F.lit(True), F.lit(False), query, score, F.lit(False), ties="doc_id")
+    assert {r["doc_id"]: r["score"] for r in hits.collect()} == {1: 1.05, 2: 0.55, 3: 0.65}
+    docs = [(1, "far", "src1"), (77, "fees due at signing that article names, estimate", "src1"), (78, "fees", "src3")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r["doc_id"] for r in text_queries.hybrid_legal_search(spark, str(tmp_path)).collect()) == [1, 77]
+
+
 def test_entry_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(k.startswith('op') for k in q), set(e.oracle_sql()) <= set(q))"
     (tmp_path / "tallystone").mkdir()
