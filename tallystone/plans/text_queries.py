@@ -186,8 +186,14 @@ SELECT doc_id, round(score, 3) AS score, substr(text, 1, 600) AS excerpt FROM b
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return _docs(spark, d).withColumn("rank", F.row_number().over(order)).filter("rank <= 15")
+    """Documents of each source, longest first, without those of lengths that come after the budget is spent."""
+    size = F.least(F.length("text"), F.lit(retrieval.EXCERPT_CHARS))
+    longer = Window.partitionBy("source").orderBy(F.desc("n_chars")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = _docs(spark, d).groupBy("source", "n_chars").agg(F.sum(size).alias("size")).withColumn("before", F.coalesce(F.sum("size").over(longer), F.lit(0)))
+    open_ = slices.filter(F.col("before") <= retrieval.CONTEXT_CHARS).select(F.col("source").alias("_source"), F.col("n_chars").alias("_n_chars"))
+    # at most a length for each character of the budget and source
+    docs = _docs(spark, d).join(F.broadcast(open_), F.col("source").eqNullSafe(F.col("_source")) & F.col("n_chars").eqNullSafe(F.col("_n_chars")), "left_semi")
+    return docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
 
 
 _RANKED_SQL = "(SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 15)"

@@ -127,6 +127,13 @@ def test_searches_find_chunks_without_an_embedding(spark, tmp_path):
     assert sorted(r["doc_id"] for r in text_queries.hybrid_legal_search(spark, str(tmp_path)).collect()) == [1, 77]
 
 
+def test_the_budget_alone_ends_the_excerpts_of_a_source(spark, tmp_path):
+    docs = [(i, "x" * n, s, n) for s, n, many, at in (("a", 100, 70, 0), ("b", 700, 20, 100), (None, 50, 30, 200)) for i in range(at, at + many)]
+    spark.createDataFrame([*docs, (300, "y" * 99, "a", 99), (301, "", "a", 0)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (text_queries.excerpt_budget, text_queries.context_bound):
+        assert sorted(r["doc_id"] for r in query(spark, str(tmp_path)).collect()) == [*range(60), *range(100, 110), *range(200, 230)]
+
+
 def test_entry_works_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(k.startswith('op') for k in q), set(e.oracle_sql()) <= set(q))"
     (tmp_path / "tallystone").mkdir()
