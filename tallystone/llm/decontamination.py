@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tallystone.session import table
 
-#: Edits allowed, as a share of an item's length, and at most.
-ERROR_RATE, MOST_ERRORS = 0.08, 64
+#: Edits allowed, as a share of an item's length.
+ERROR_RATE = 0.08
 #: An item of fewer words is matched without edits.
 MIN_WORDS = 8
 #: Bytes of items in an automaton, about.
@@ -35,7 +35,7 @@ def normalised(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return 0 if item.count(" ") - 1 < MIN_WORDS else min(int(len(item) * ERROR_RATE), MOST_ERRORS)
+    return 0 if item.count(" ") - 1 < MIN_WORDS else int(len(item) * ERROR_RATE)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:

@@ -209,6 +209,36 @@ def test_bit_parallel_distance_is_the_edit_distance():
         assert got == edit_distance_in(item, text)
 
 
+def test_long_items_keep_the_rate_of_edits(spark):
+    rng = random.Random(12)
+    item = words(rng, 600, 10**6)
+    n = len(decontamination.normalised(item))
+    assert n > 4000 and decontamination.budget(decontamination.normalised(item)) == int(n * 0.08)
+
+    def edited(edits):
+        out = list(item)
+        for i in rng.sample([i for i, c in enumerate(item) if c.isdigit()], edits):
+            out[i] = "z"
+        return f"before it {''.join(out)} after it"
+
+    texts = [edited(k) for k in (60, 100, 300, 500)]
+    target, expected = np.array(list(decontamination.normalised(item))), {}
+    for d, text in enumerate(texts):
+        column = at = np.arange(n + 1)
+        best = n
+        for c in decontamination.normalised(text):
+            step = np.concatenate([[0], np.minimum(column[1:] + 1, column[:-1] + (target != c))])
+            column = np.minimum.accumulate(step - at) + at
+            best = min(best, int(column[-1]))
+        if best <= int(n * 0.08):
+            expected[d] = best
+    assert sorted(expected) == [0, 1, 2] and expected[1] > 64
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"]: r["distance"] for r in decontamination.find_leaks(frame, bench).collect()} == expected
+    assert [r["doc_id"] for r in decontamination.drop_leaks(frame, bench).collect()] == [3]
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for _ in range(60):
