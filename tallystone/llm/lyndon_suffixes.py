@@ -13,6 +13,9 @@ The linear-time construction in two phases (grouping suffix array construction,
 
 Python runs that a symbol at a time far too slowly. Here many strings advance together: in one step
 each takes its current highest group, and the groups of all are handled in the same array operations.
+Every suffix is handled once as a member, as in the linear construction; the array operations sort the
+targets of a step to count them and follow pointers one hop at a time, so the cost is linear but for
+the logarithm of a step's size, and for hops in texts of one repeated symbol.
 """
 
 from __future__ import annotations

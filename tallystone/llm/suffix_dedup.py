@@ -5,12 +5,13 @@ A string of LENGTH bytes that starts at two places is found in four steps, each
 1. Every string of LENGTH bytes selects one of its 64-byte grams, the one of least hash (its anchor);
    equal strings select equal grams at equal offsets. So each start of a string belongs to one anchor,
    and the starts of an anchor are neighbours: one window of text holds their strings.
-2. Only anchors whose gram occurs again can matter. Windows that are equal as a whole are one class;
-   a class of several windows is repeated throughout.
+2. Only anchors whose gram occurs again can matter. Windows of equal content (by 64-bit hash of content
+   and place of the gram, among those whose gram has an equal 64-bit hash) are one class; a class of
+   several windows is repeated throughout, and one of them stands for it in the suffix arrays.
 3. The different windows of a gram are sorted suffix by suffix (``lyndon_suffixes``): equal strings are
    neighbours in a suffix array, and neighbours are compared byte by byte. A gram with many windows is
    first split by the bytes that all strings of a range of offsets share; after three splits a range
-   is one offset, where members are equal or apart, so no task ever holds a large group.
+   is one offset, where members are equal (by 64-bit hash) or apart, so no task holds a large group.
 4. The bytes so covered are cut from their documents.
 """
 
@@ -173,7 +174,7 @@ def _sort_groups(windows: DataFrame, length: int) -> DataFrame:
 
 def _resolve(windows: DataFrame, length: int, level: int = 0) -> DataFrame:
     """windows (gram, window, lead, starts, content), several of each gram -> gram, window, lo, hi."""
-    many = windows.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select("gram")
+    many = written(windows.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > TOGETHER).select("gram"), "passage-many")
     found = _sort_groups(windows.join(many, "gram", "left_anti"), length)
     if level == len(SPLITS) or many.isEmpty():
         return found
@@ -190,7 +191,7 @@ def _resolve(windows: DataFrame, length: int, level: int = 0) -> DataFrame:
     part = written(part.select("gram", "window", "shift", "gram_in", F.xxhash64("content_in", "high").alias("window_in"), F.col("high").alias("lead_in"), (F.col("high") - F.col("low") + 1).alias("starts_in"), "content_in"), "passage-parts")
     classes = part.groupBy(F.col("gram_in").alias("gram"), F.col("window_in").alias("window")).agg(F.count("*").alias("members"), F.first("lead_in").alias("lead"), F.first("starts_in").alias("starts"), F.first("content_in").alias("content"))
     classes = written(classes, "passage-classes")
-    several = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    several = written(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passage-several")
     below = _resolve(classes.join(several, "gram", "left_semi"), length, level + 1)
     below = below.unionByName(classes.filter("members > 1").select("gram", "window", F.lit(0).alias("lo"), F.col("starts").cast("int").alias("hi")))
     back = part.select("gram", "window", "shift", "gram_in", "window_in").join(below.select(F.col("gram").alias("gram_in"), F.col("window").alias("window_in"), "lo", "hi"), ["gram_in", "window_in"])
@@ -228,11 +229,13 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     strings of ``length`` bytes that start anywhere else too; ranges may touch and overlap."""
     docs = _named(docs)
     anchors = written(_list_anchors(docs, length), "passage-anchors")
-    again = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # lists of grams are written before they are joined: the join then has sides of its own, which
+    # Spark splits where a gram is very common
+    again = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passage-grams")
     anchors = written(anchors.join(again, "gram", "left_semi"), "passage-again")
     classes = anchors.groupBy("gram", "window").agg(F.count("*").alias("members"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.min(F.struct("doc_id", "text_hash", "start")).alias("one"))
     classes = written(classes, "passage-classes")
-    several = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    several = written(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passage-several")
     windows = written(_cut_windows(docs, classes.join(several, "gram", "left_semi").select("gram", "window", "lead", "starts", "one.*"), length), "passage-windows")
     whole = classes.filter("members > 1").select("gram", "window", F.lit(0).alias("lo"), F.col("starts").alias("hi"))
     found = written(_resolve(windows, length).unionByName(whole), "passage-found")
