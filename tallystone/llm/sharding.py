@@ -9,21 +9,40 @@ from pyspark.sql.window import Window
 from tallystone.session import table, written
 
 SHARDS = 8
-#: A group of equal texts stays in one shard while it is at most this share of a shard.
-WHOLE_GROUP = 0.01
+#: A cut moves to the nearest edge of the group of equal texts that it falls into, if that is no further
+#: than this share of a shard.
+SLACK = 0.01
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, whole_group: float = WHOLE_GROUP) -> DataFrame:
+def _cuts(ranked: DataFrame, total: int, shards: int, slack: float) -> list[int]:
+    """Places among all bytes at which the shards after the first begin: edges of rows next to equal
+    targets. The driver sees a row and a group per cut."""
+    targets = [total * k // shards for k in range(1, shards)]
+    if not total or not targets:
+        return []
+    start = F.col("end") - F.col("size")
+    hit = F.filter(F.array(*map(F.lit, targets)), lambda t: (t >= start) & (t < F.col("end")))
+    rows = ranked.withColumn("target", F.explode(hit)).select("target", "text_crc32", "digest", start.alias("start"), "end").collect()
+    same = F.col("digest").isin(sorted({r["digest"] for r in rows}))
+    edges = {(r["text_crc32"], r["digest"]): (r["first"], r["last"]) for r in ranked.filter(same).groupBy("text_crc32", "digest").agg(F.min(start).alias("first"), F.max("end").alias("last")).collect()}
+    cuts = []
+    for r in sorted(rows, key=lambda r: r["target"]):
+        nearest = lambda edges, t=r["target"]: min(edges, key=lambda e: (abs(e - t), e))
+        edge = nearest(edges[r["text_crc32"], r["digest"]])
+        cuts.append(edge if abs(edge - r["target"]) <= slack * total / shards else nearest((r["start"], r["end"])))
+    return cuts
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """Shard number and slot of each row of ``docs`` (doc_id, text; further columns ignored).
 
     A row weighs its text's UTF-8 bytes plus 1 (null: 1). Rows are range-sorted by the text's
     CRC-32, its MD5 and doc_id, so equal texts are neighbours; the totals of the sorted partitions
     give each its start, and the running sum inside gives each row its place among all bytes. Cuts
-    are at equal targets: a row belongs to the shard that its middle falls into. A group of equal
-    texts up to ``whole_group`` of a shard goes by the group's middle, so that it stays whole;
-    larger groups are cut like any rows. Slots number the rows of a shard from 0 in that order.
-    Null and empty texts count as equal. Rows equal in all of this are interchangeable. An empty
-    table gives an empty result.
+    are at equal targets, moved to the nearest edge of a row, or of a group of equal texts where that
+    is within ``slack`` of a shard: at most one group a cut is parted. Slots number the rows of a
+    shard from 0 in that order. Null and empty texts count as equal. Rows equal in all of this are
+    interchangeable. An empty table gives an empty result.
 
     Returns doc_id, size, text_crc32, shard, slot.
     """
@@ -51,10 +70,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, whole_group: float = W
         .select("doc_id", "size", "text_crc32", "digest", (F.col("bytes_before") + F.col("bytes_in")).alias("end"), (F.col("rows_before") + F.col("rank_in")).alias("rank"))
     )
     ranked = written(ranked, "shard-rank")
-    groups = ranked.groupBy("text_crc32", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("group_bytes"), F.max("end").alias("group_end")).filter((F.col("n") > 1) & (F.col("group_bytes") <= int(total * whole_group / shards))).select("text_crc32", "digest", "group_bytes", "group_end")
-    middle = F.coalesce(2 * F.col("group_end") - F.col("group_bytes"), 2 * F.col("end") - F.col("size"))
-    shard = F.least(F.expr(f"middle * {shards} div {2 * max(total, 1)}"), F.lit(shards - 1)).cast("int")
-    dealt = written(ranked.join(groups, ["text_crc32", "digest"], "left").withColumn("middle", middle).withColumn("shard", shard).select("doc_id", "size", "text_crc32", "rank", "shard"), "shard-dealt")
+    begin = F.col("end") - F.col("size")
+    shard = sum((F.when(begin >= cut, 1).otherwise(0) for cut in _cuts(ranked, total, shards, slack)), F.lit(0)).cast("int")
+    dealt = ranked.withColumn("shard", shard)
     first = dealt.groupBy("shard").agg(F.min("rank").alias("first_rank"))  # a row per shard
     return dealt.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first_rank")).alias("slot"))
 
