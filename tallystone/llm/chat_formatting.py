@@ -68,21 +68,37 @@ def format_preferences(turns: DataFrame, trained: str = "assistant") -> DataFram
     )
 
 
-def pairs_of_neighbours(conversations: DataFrame) -> DataFrame:
-    """Conversations 2k (chosen) and 2k+1 (rejected) as pair k; the table holds no preferences of its own."""
-    side = F.when(F.col("conv_id").bitwiseAND(1) == 0, "chosen").otherwise("rejected")
-    return conversations.select(F.shiftright("conv_id", 1).alias("pair_id"), side.alias("side"), "turn", "role", "text")
+def pairs_with_other_answers(conversations: DataFrame) -> DataFrame:
+    """Every conversation as chosen, and as rejected with the text of its last assistant turn taken
+    from the next conversation (conv_id + 1); the table holds no preferences of its own.
+
+    Of several last turns that with the greatest text is taken, and its repeats change with it. Without
+    such a turn in the next conversation the rejected answer is empty; without one of its own, both
+    sides are equal. Null ids are left out. The joined side has a row per conversation.
+    """
+    answers = conversations.filter(F.col("role") == "assistant").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    following = answers.select((F.col("conv_id") - 1).alias("conv_id"), F.col("own.text").alias("other"))
+    ends = answers.join(following, "conv_id", "left").select("conv_id", "own", F.coalesce("other", F.lit("")).alias("other"))
+    turns = conversations.filter(F.col("conv_id").isNotNull()).join(ends, "conv_id", "left")
+    last = (F.col("role") == "assistant") & F.col("own").eqNullSafe(F.struct("turn", "text"))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), "text"), F.struct(F.lit("rejected").alias("side"), F.when(last, F.col("other")).otherwise(F.col("text")).alias("text")))
+    return turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_preferences(pairs_of_neighbours(table(spark, sf_dir, "conversations")))
+    out = format_preferences(pairs_with_other_answers(table(spark, sf_dir, "conversations")))
     marks = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.withColumns({"chosen_loss": marks(F.col("chosen_loss")), "rejected_loss": marks(F.col("rejected_loss"))})
 
 
 ORACLE_SQL = r"""
-WITH s AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations WHERE conv_id IS NOT NULL),
+WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1),
+b AS (SELECT c.conv_id AS pair_id, c.turn, c.role, c.text,
+        CASE WHEN c.role = 'assistant' AND a.conv_id IS NOT NULL AND c.turn IS NOT DISTINCT FROM a.turn AND c.text IS NOT DISTINCT FROM a.text THEN coalesce(o.text, '') ELSE c.text END AS other
+      FROM conversations c LEFT JOIN a ON a.conv_id = c.conv_id LEFT JOIN a o ON o.conv_id = c.conv_id + 1 WHERE c.conv_id IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS n
+      FROM (SELECT pair_id, 0 AS side, turn, role, text FROM b UNION ALL SELECT pair_id, 1, turn, role, other FROM b)),
 m AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.n, r.n) AS n,
         coalesce(c.n = r.n AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text, false) AS same
       FROM (SELECT * FROM s WHERE side = 0) c FULL JOIN (SELECT * FROM s WHERE side = 1) r ON c.pair_id = r.pair_id AND c.n = r.n),
