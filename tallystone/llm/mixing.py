@@ -2,9 +2,9 @@
 
 Each document of a source, in a shuffled order that depends on its id alone, gets a virtual finish
 time: the words of its source up to and including it, divided by the source's target. A source that
-must be read several times goes on in the same order. Sorting all copies by that time interleaves
-the sources in proportion to their targets at every point; the mix is what comes before the total
-budget is used up.
+must be read several times goes on in the same order. All copies are range-sorted by that time over
+the whole table, which interleaves the sources in proportion to their targets at every point; totals of
+the sorted partitions lead to the one in which the budget ends, and the mix is what comes before.
 """
 
 from __future__ import annotations
@@ -15,13 +15,18 @@ from pyspark.sql.window import Window
 
 from tallystone.session import table, written
 
-WORD = r"[^\x20\x09-\x0D]+"
-#: Equal slices of virtual time in which copies past their source's target are counted.
-SLICES = 65536
+#: Words are what stands between these: space, tab, line feed, vertical tab, form feed, return.
+_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text (null: 0): each becomes one character, so no list of words is built."""
+    marks = F.regexp_replace(text, f"{_GAP}*+{_WORD}++{_GAP}*+", "w")
+    return F.when(F.coalesce(F.rlike(text, F.lit(_WORD)), F.lit(False)), F.length(marks)).otherwise(0).cast("long")
+
+
+def queue_key(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -49,77 +54,83 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """How often the mix takes each row of ``docs`` (doc_id, source, text; further columns ignored).
-
-    Returns doc_id, source, size, source_size, target, taken, copies, one row per input row. A null
-    text has size 0; null sources form one source; rows without words are taken once (``copies``)
-    when their place in the queue is reached, with ``taken`` 0; equal ids with equal sizes are
-    interchangeable; an empty table gives an empty result.
-
-    A source, however large, is cut into 4096 runs of the shuffled order, whose totals give each
-    run its start; the running sum then needs one run at a time. The driver sees four sums and one
-    threshold.
-    """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("queue_key")), "mix-sizes").withColumn("run", F.substring("queue_key", 1, 3))
-
+def _queue(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+    """doc_id, source, size, queue_key, reached, source_size, target of each row: ``reached`` is the
+    words of its source up to and including it. A source, however large, is cut into 4096 runs of the
+    shuffled order, whose totals give each run its start; the running sum then needs one run at a time."""
+    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), queue_key(seed).alias("queue_key")), "mix-sizes").withColumn("run", F.substring("queue_key", 1, 3))
     runs = base.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     targets = source_targets(runs.groupBy("source").agg(F.sum("run_size").alias("source_size")), weights, max_epochs)
     in_source = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.withColumn("start", F.coalesce(F.sum("run_size").over(in_source), F.lit(0)))
     starts = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.run", "s.start", "t.source_size", "t.target")
-
     in_run = Window.partitionBy("source", "run").orderBy("queue_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = base.withColumn("within", F.sum("size").over(in_run))
-    queued = written(
+    return (
         queued.alias("q")
         .join(starts.alias("s"), F.col("q.source").eqNullSafe(F.col("s.source")) & (F.col("q.run") == F.col("s.run")))
-        .select("q.doc_id", "q.source", "q.size", "q.queue_key", (F.col("q.within") + F.col("s.start")).alias("reached"), "s.source_size", "s.target"),
-        "mix-queue",
+        .select("q.doc_id", "q.source", "q.size", "q.queue_key", (F.col("q.within") + F.col("s.start")).alias("reached"), "s.source_size", "s.target")
     )
 
-    finish = [F.col("source_size") * e + F.col("reached") for e in range(max_epochs)]
-    inside = sum(F.when(f <= F.col("target"), 1).otherwise(0) for f in finish)
-    totals = queued.agg(F.sum("size").alias("budget"), F.sum(F.col("size") * inside).alias("used")).first()
-    left = (totals["budget"] or 0) - (totals["used"] or 0)
-
-    late = queued.select("doc_id", "size", "queue_key", F.explode(F.filter(F.array(*[F.try_divide(f, F.col("target")) for f in finish]), lambda v: v > 1)).alias("v")).filter("size > 0").withColumn("slice", F.least(F.floor(F.col("v") * SLICES), F.lit(4 * SLICES)))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counted = late.groupBy("slice").agg(F.sum("size").alias("slice_size")).withColumn("ahead", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    last = counted.filter(F.col("ahead") <= left).agg(F.max(F.struct("slice", "ahead")).alias("m")).first()["m"]
-    taken_late = [F.lit(False)] * max_epochs
-    if last is not None:
-        place = F.struct("v", "queue_key", "doc_id", "size")
-        upto = Window.orderBy("v", "queue_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        final = late.filter(F.col("slice") == last["slice"]).withColumn("sum", F.sum("size").over(upto)).filter(F.col("sum") <= left - last["ahead"]).agg(F.max(place).alias("m")).first()["m"]
-
-        def late_copy(f: Column) -> Column:
-            v = F.try_divide(f, F.col("target"))
-            early = F.least(F.floor(v * SLICES), F.lit(4 * SLICES)) < last["slice"]
-            if final is None:
-                return (v > 1) & early
-            mark = F.struct(F.lit(final["v"]), F.lit(final["queue_key"]), F.lit(final["doc_id"]).cast("long"), F.lit(final["size"]).cast("long"))
-            return (v > 1) & (early | (F.struct(v, F.col("queue_key"), F.col("doc_id").cast("long"), F.col("size")) <= mark))
-
-        taken_late = [late_copy(f) for f in finish]
-    copies = sum(F.when((f <= F.col("target")) | F.coalesce(t, F.lit(False)), 1).otherwise(0) for f, t in zip(finish, taken_late, strict=True))
-    return queued.withColumn("copies", F.when(F.col("size") == 0, F.least(copies, F.lit(1))).otherwise(copies)).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
-    )
 
+#: A copy's place in the mix, after its finish time.
+_TIES = ("queue_key", "doc_id", "size")
+
+
+def mix_order(queued: DataFrame, max_epochs: int = 3) -> DataFrame:
+    """The copies that the mix takes, from a queue (written): source, epoch, finish (virtual time), part
+    and the row's queue_key, doc_id and size. Sorted by part, finish and these three they are in the
+    order of the mix; a source without words finishes at 0."""
+    spark = queued.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
+    copies = queued.select("source", epochs, *_TIES, "source_size", "reached", "target")
+    finish = F.coalesce(F.try_divide(F.col("source_size") * F.col("epoch") + F.col("reached"), F.col("target")), F.lit(0.0))
+    copies = copies.select("source", "epoch", finish.alias("finish"), *_TIES)
+    # written before it is summed: a retried task can't see other range bounds
+    placed = written(copies.repartitionByRange(partitions, "finish", *_TIES).withColumn("part", F.spark_partition_id()), "mix-order")
+    budget = queued.agg(F.sum("size")).first()[0] or 0
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    totals = placed.groupBy("part").agg(F.sum("size").alias("words")).withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    last = totals.filter(F.col("ahead") + F.col("words") > budget).agg(F.min(F.struct("part", "ahead")).alias("m")).first()["m"]
+    if last is None:
+        return placed
+    upto = Window.orderBy("finish", *_TIES).rowsBetween(Window.unboundedPreceding, 0)  # one partition of the sort
+    ending = placed.filter(F.col("part") == last["part"]).withColumn("words", F.sum("size").over(upto)).filter(F.col("words") <= budget - last["ahead"]).drop("words")
+    return placed.filter(F.col("part") < last["part"]).unionByName(ending)
+
+
+def _copies(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """``rows`` (source, queue_key, doc_id, size, ...) with ``copies``. What a source has in the mix is
+    the head of its queue, read again and again: the last of its copies says all, a row per source."""
+    last = taken.groupBy("source").agg(F.max(F.struct("epoch", *_TIES)).alias("_last")).withColumnRenamed("source", "_source")
+    joined = rows.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("_source")), "left")
+    reached = F.struct(*_TIES) <= F.struct(*[F.col("_last")[c].alias(c) for c in _TIES])
+    copies = F.coalesce(F.col("_last.epoch") + F.when(reached, 1).otherwise(0), F.lit(0))
+    return joined.withColumn("copies", F.when(F.col("size") == 0, F.least(copies, F.lit(1))).otherwise(copies).cast("int")).drop("_source", "_last")
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, source, text; all columns stay), each as often as the mix takes it."""
-    keys = ["doc_id", "source", "size"]
-    nth = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    # rows equal in all three are interchangeable in the queue: they are told apart by number
-    taken = mix_sources(docs, **options).withColumn("nth", nth(F.col("copies").desc())).alias("t")
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("digest")).withColumn("nth", nth("digest")).alias("d")
-    same = F.col("d.nth") == F.col("t.nth")
-    for k in keys:
-        same &= F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}"))
-    return rows.join(taken, same).filter("t.copies > 0").select("d.row", F.explode(F.array_repeat(F.lit(0), F.col("t.copies").cast("int")))).select("row.*")
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """How often the mix takes each row of ``docs`` (doc_id, source, text; further columns ignored).
+
+    Returns doc_id, source, size, source_size, target, taken, copies, one row per input row. A null
+    text has size 0; null sources form one source; rows without words are taken once (``copies``)
+    when their place in the queue is reached, with ``taken`` 0; equal ids with equal sizes share
+    their place, so that the mix takes them alike; an empty table gives an empty result. The driver
+    sees two sums and the number of a partition.
+    """
+    queued = written(_queue(docs, weights, max_epochs, seed), "mix-queue")
+    return _copies(queued, mix_order(queued, max_epochs)).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text; all columns stay), each as often as the mix takes it.
+
+    Whole rows aren't shuffled: a row finds its number of copies by its own place in the queue.
+    """
+    queued = written(_queue(docs, weights, max_epochs, seed), "mix-queue")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), queue_key(seed).alias("queue_key"))
+    return _copies(rows, mix_order(queued, max_epochs)).filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
