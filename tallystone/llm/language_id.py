@@ -9,7 +9,6 @@ backpropagation through time over such windows, in numpy, on a bounded sample.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallystone.session import table
 
@@ -26,7 +24,6 @@ HIDDEN = 8
 #: Windows that advance together when a model is applied.
 LANES = 4096
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -150,30 +147,41 @@ def fit(windows: list[bytes], labels: list[str], epochs: int = 12, batch: int =
     return Model(languages, *params)
 
 
-def training_windows(docs: DataFrame, docs_per_language: int = 400, windows_per_doc: int = 6, max_languages: int = 256) -> tuple[list[bytes], list[str]]:
-    """The training sample: of each language the ``docs_per_language`` first documents by MD5 of
-    doc_id outside the held-out fold (crc32(doc_id) mod 4 = 2), of each up to ``windows_per_doc``
-    windows spread evenly over the whole text. More than ``max_languages`` languages are an error."""
+def training_windows(docs: DataFrame, docs_per_language: int = 400, windows_per_doc: int = 6) -> tuple[list[bytes], list[str]]:
+    """The training sample, of rows with a text and a language outside the held-out fold (crc32(doc_id)
+    mod 4 = 2): of each language about ``docs_per_language`` different texts at most, those of least
+    hash, and of each up to ``windows_per_doc`` windows spread evenly over the whole text.
+
+    The rows of a language are counted first, and a row is picked by the hash of its id and text alone,
+    so that about twice the number are expected; nothing is sorted or gathered by language. Repeated
+    rows are one. The driver gets the windows of some 800 texts a language.
+    """
     key = F.col("doc_id").cast("string")
-    place = Window.partitionBy("lang").orderBy(F.md5(key), "doc_id")
-    picked = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & (F.crc32(key) % 4 != 2)).withColumn("n", F.row_number().over(place)).filter(F.col("n") <= docs_per_language)
-    languages = [r["lang"] for r in docs.select("lang").filter("lang is not null").distinct().limit(max_languages + 1).collect()]
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    known = docs.select(key.alias("k"), "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32("k") % 4 != 2))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row per language
+    place = F.shiftrightunsigned(F.xxhash64("k", "text"), 11) / F.lit(float(1 << 53))
+    picked = known.join(F.broadcast(counts), "lang").withColumn("place", place).filter(F.col("place") * F.col("n") < 2 * docs_per_language)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, str, bytes]] = []
-            for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple[float, str, list[bytes]]] = []
+            for place, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
-                for start in sorted({int(x) for x in np.linspace(0, max(len(data) - WINDOW, 0), windows_per_doc)}) if data else ():
-                    out.append((key, lang, data[start : start + WINDOW]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else ([], [], []), (pa.string(), pa.string(), pa.binary()), strict=True)], names=["k", "lang", "window"])
-
-    # at most max_languages * docs_per_language ids
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked.select("doc_id", "lang")), "doc_id")
-    rows = sorted((r["k"], bytes(r["window"]), r["lang"]) for r in sample.select(key.alias("k"), "lang", "text").mapInArrow(cut, "k string, lang string, window binary").collect())
-    return [r[1] for r in rows], [r[2] for r in rows]
+                starts = sorted({int(x) for x in np.linspace(0, max(len(data) - WINDOW, 0), windows_per_doc)}) if data else []
+                out.append((place, lang, [data[start : start + WINDOW] for start in starts]))
+            kinds = (pa.float64(), pa.string(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else ([], [], []), kinds, strict=True)], names=["place", "lang", "windows"])
+
+    sample = picked.select("place", "lang", "text").mapInArrow(cut, "place double, lang string, windows array<binary>").distinct()
+    windows: list[bytes] = []
+    labels: list[str] = []
+    taken: dict[str, int] = {}
+    for r in sorted(sample.collect(), key=lambda r: (r["place"], r["lang"])):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= docs_per_language:
+            windows += map(bytes, r["windows"])
+            labels += [r["lang"]] * len(r["windows"])
+    return windows, labels
 
 
 def train(docs: DataFrame, **options) -> Model:
@@ -232,7 +240,7 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 piece = batch.slice(at, 1024)
-                texts = [t if t and _LETTER.search(t) and sent.value.languages else None for t in piece.column(1).to_pylist()]
+                texts = [t if t and any(map(str.isalpha, t)) and sent.value.languages else None for t in piece.column(1).to_pylist()]
                 p = pooled(sent.value, texts)
                 known = [t is not None for t in texts]
                 names = [sent.value.languages[k] if ok else UNDETERMINED for k, ok in zip(p.argmax(1) if p.size else [0] * len(texts), known, strict=True)]
