@@ -38,10 +38,17 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("flat", pat_str=SPLIT_PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
+def token_type(vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT) -> str:
+    """The narrowest type of ids, two or four bytes, that holds the vocabulary and the separator."""
+    with open(vocabulary, "rb") as f:
+        most = max((int(line.split()[1]) for line in f if line.strip()), default=0)
+    return "<u2" if max(most, separator) < 1 << 16 else "<u4"
+
+
 def flat_token_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``docs`` (doc_id, text) as flat token files in blocks of ``block_tokens`` ids.
 
-    Returns file, block, data (uint16 or uint32 little-endian ids), doc_ids (of the documents that
+    Returns file, block, data (little-endian ids of ``token_type``), doc_ids (of the documents that
     end in the block, in order; the scan doesn't need them). A task's documents make one file; a
     null text is an empty document. Written out, as a file's number is its task's.
     """
@@ -49,11 +56,10 @@ def flat_token_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, separator:
         ranks = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(ranks) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary} is larger than {MAX_VOCABULARY_BYTES} bytes")
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent, kind = docs.sparkSession.sparkContext.broadcast(ranks), np.dtype(token_type(vocabulary, separator))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(sent.value)
-        kind = np.dtype("<u2" if max(encoding.n_vocab, separator + 1) <= 1 << 16 else "<u4")
         file, block = TaskContext.get().partitionId(), 0
         parts: list[np.ndarray] = []
         ends: list[tuple[int, int | None]] = []  # place of the separator after the last cut, doc_id
@@ -91,8 +97,8 @@ def scan_separators(blocks: DataFrame, separator: int = END_OF_DOCUMENT, dtype:
     Blocks of a file are ordered by ``block`` and may have any sizes, empty or null ones included.
     Returns file, block (in which it ends), nth (among those that end there), start (in the file),
     n_tokens (without the separator), closed (false for tokens after the last separator, if any).
-    Two separators in a row enclose an empty document. The scan's window holds a short row per
-    block; tokens never leave the task that read them.
+    Two separators in a row enclose an empty document. The scan's window holds a row per block with
+    the places of its separators; tokens never leave the task that read them.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +127,21 @@ def scan_separators(blocks: DataFrame, separator: int = END_OF_DOCUMENT, dtype:
 def read_token_files(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Flat token files under ``path`` as blocks (file, block, data, path), through Spark's own reader.
 
-    A file is one task's work here and must stay under 2 GB, as Spark's binary reader holds it whole.
+    A file is one task's work and passes through it once; Spark's binary reader takes files of up to
+    2 GB, so a larger corpus is several files. An empty file gives one empty block.
     """
     step = block_tokens * token_bytes
-    files = spark.read.format("binaryFile").load(path).withColumn("file", F.xxhash64("path"))
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.col("length"), F.lit(1)) - 1) / step))).alias("block")
-    return files.select("file", "path", "content", at).select("file", "block", F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("data"), "path")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, name, content in zip(*batch.columns, strict=True):
+                data = content.as_buffer()
+                for block, at in enumerate(range(0, max(len(data), 1), step)):
+                    piece = data.slice(at, min(step, len(data) - at)).to_pybytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()], pa.int64()), pa.array([block], pa.int64()), pa.array([piece], pa.binary()), pa.array([name.as_py()], pa.string())], names=["file", "block", "data", "path"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "path", "content")
+    return files.mapInArrow(cut, "file long, block long, data binary, path string")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -136,7 +151,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int =
     """
     blocks = flat_token_blocks(docs, vocabulary, separator, block_tokens)
     ids = blocks.select("file", "block", F.posexplode("doc_ids").alias("nth", "doc_id"))
-    return scan_separators(blocks, separator).filter("closed").join(ids, ["file", "block", "nth"]).select("doc_id", "n_tokens")
+    return scan_separators(blocks, separator, token_type(vocabulary, separator)).filter("closed").join(ids, ["file", "block", "nth"]).select("doc_id", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
