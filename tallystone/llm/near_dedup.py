@@ -3,8 +3,9 @@
 A signature is SYMBOLS minhash symbols of 16 bits, cut into CHUNKS. Two signatures that differ in at
 most CHUNKS * (ERRORS + 1) - 1 symbols agree in some chunk up to ERRORS symbols, by pigeonhole; so
 each chunk is filed under every choice of ERRORS symbols left out, and all pairs within that distance
-(19 of 50) meet under some key. Pairs that meet are confirmed on their full shingle sets.
-A pair at a similarity of 0.8 exactly meets with a probability of 1 - 1.6e-6, a closer one more surely.
+(19 of 50) meet under some key. Pairs that meet are confirmed on their full shingle sets (sets of 64-bit
+hashes of shingles). A pair at a similarity of exactly 0.8 is missed with a probability of 1.6e-6 because
+it never meets, 2e-9 because it is further apart than FARTHEST, 1e-9 by its sketch; a closer one less.
 
 No key lists its pairs. The least document of a key is compared with each of the others first, which
 settles groups of copies; only keys that still hold several components are compared throughout, in
@@ -24,20 +25,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystone.llm.components import connected_components
 from tallystone.llm.shingles import shingle_sets, signature
-from tallystone.operators.components import connected_components
-from tallystone.operators.sized import semi_or_anti
+from tallystone.llm.sized import semi_or_anti
 from tallystone.session import table, written
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 10, 5, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
-#: Pairs further apart than this are not confirmed: at a similarity of 0.8 one in 10^8 is.
-FARTHEST = 28
+#: Pairs further apart than this are not confirmed, well beyond the distance that is guaranteed to meet.
+FARTHEST = 30
 #: Members of a key that one cell compares with as many others.
 CELL = 256
 _SETS_AT_ONCE = 256
 #: Hashes in a sketch, and how many standard deviations below the threshold its estimate may lie.
-SKETCH, DEVIATIONS = 256, 5
+SKETCH, DEVIATIONS = 256, 6
 #: Places of a signature that each key of a document takes in.
 KEYS = tuple(kept for c in range(CHUNKS) for kept in combinations(range(c * CHUNK_SYMBOLS, (c + 1) * CHUNK_SYMBOLS), CHUNK_SYMBOLS - ERRORS))
 
@@ -133,9 +134,9 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, signed: DataFrame, thresho
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo < hi").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     mixed = written(members.join(keys, "key"), "near-mixed")
-    # of rows with equal id and set, one
-    shown = sets.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_digest", "n_shingles", "symbols").join(signed.select("doc_id", "set_digest", "sketch"), ["doc_id", "set_digest"])
-    shown = shown.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "symbols", "sketch")])
+    # an id that stands for several sets is shown with each of them; of rows with equal id and set, one
+    sketches = signed.select("doc_id", "set_digest", "sketch").dropDuplicates(["doc_id", "set_digest"])
+    shown = sets.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_digest", "n_shingles", "symbols").join(sketches, ["doc_id", "set_digest"]).drop("set_digest")
     spread = (
         mixed.join(written(shown, "near-shown"), "doc_id")
         .withColumn("block", block)
@@ -232,13 +233,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """One row of ``docs`` (doc_id, text; all columns stay) of each near-duplicate group: the one with
-    the least doc_id, of several rows with that id the one with the least text. Rows with a null id
-    stay."""
+    """One document of ``docs`` (doc_id, text; all columns stay) of each near-duplicate group: the one
+    with the least doc_id. Of its rows that repeat id and text one stays, rows that share only the id
+    all stay, and so do rows with a null id."""
     kept = near_duplicates(docs, width, threshold).filter("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    # the window uses the join's partitions
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).withColumn("_first", first).filter("_first = 1").drop("_first")
+    hashed = F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind])
+    first = F.row_number().over(Window.partitionBy("doc_id", "row.text").orderBy(hashed))
+    rows = docs.filter("doc_id is not null").select("doc_id", F.struct("*").alias("row")).join(kept, "doc_id", "left_semi")
+    # the window uses the join's partitions; the row is one column, so no name can clash
+    named = rows.withColumn("n", first).filter("n = 1").select("row.*")
     return named.unionByName(docs.filter("doc_id is null"))
 
 
