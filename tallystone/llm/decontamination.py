@@ -22,8 +22,6 @@ from tallystone.session import table
 
 #: Edits allowed, as a share of an item's length.
 ERROR_RATE = 0.08
-#: An item of fewer words is matched without edits.
-MIN_WORDS = 8
 #: Bytes of items in an automaton, about.
 BLOCK_BYTES = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -35,7 +33,8 @@ def normalised(text: str | None) -> str:
 
 
 def budget(item: str) -> int:
-    return 0 if item.count(" ") - 1 < MIN_WORDS else int(len(item) * ERROR_RATE)
+    """Edits allowed: the rate at every length, rounded down, so items under 13 characters must match."""
+    return int(len(item) * ERROR_RATE)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
