@@ -4,7 +4,8 @@ A word's evidence is the sum of weights of its hashed byte n-grams; a document i
 word is harmless (noisy-or), so that one insult counts in a long text as in a short one. In training,
 identity terms of labelled sentences are swapped for others of their group, and the difference of the
 two scores is penalised: what depends on the group that is named is unlearned, so neutral mentions
-stop raising false alarms.
+stop raising false alarms. As most labelled sentences name no group, each text also gives sentences in
+which one word makes room for a term of a group, beside the same with another term of that group.
 """
 
 from __future__ import annotations
@@ -53,8 +54,11 @@ _KEEP = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 @dataclass(frozen=True)
 class Model:
+    """``swaps``: how many pairs of swapped sentences the penalty has seen, placed ones included."""
+
     weights: np.ndarray
     bias: float
+    swaps: int = 0
 
 
 def _runs(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -134,10 +138,22 @@ def swapped_sentences(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_
     return out
 
 
-def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty: float = 1.0, epochs: int = 20, least_steps: int = 400, batch: int = 48, rate: float = 0.12, heard: float = 0.4, decay: float = 1e-6, seed: int = 5) -> Model:
+def placed_sentence(text: str, groups: tuple[tuple[str, ...], ...], rng: np.random.Generator) -> tuple[str, str] | None:
+    """A sentence of ``text`` with one of its words replaced by a term of a group, and by another."""
+    sentences = _SENTENCE.findall(text.lower())
+    spots = list(_WORD.finditer(sentences[k])) if (k := int(rng.integers(max(len(sentences), 1)))) < len(sentences) else []
+    if not spots:
+        return None
+    spot, group = spots[rng.integers(len(spots))], groups[rng.integers(len(groups))]
+    one, other = (sentences[k][: spot.start()] + group[i] + sentences[k][spot.end() :] for i in rng.choice(len(group), 2, replace=False))
+    return one, other
+
+
+def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, penalty: float = 1.0, epochs: int = 20, least_steps: int = 400, batch: int = 48, rate: float = 0.12, heard: float = 0.4, decay: float = 1e-6, placed: int = 1, seed: int = 5) -> Model:
     """Adagrad over mini-batches: likelihood of the labels plus ``penalty`` times the squared change
     of the log-odds under swaps. Of a toxic text each step hears only a share ``heard`` of the words,
-    drawn anew: else one known insult explains the label and those beside it are never learned.
+    drawn anew: else one known insult explains the label and those beside it are never learned. A
+    step swaps the terms that its texts have and places ``placed`` in sentences of each.
     Without labels of both kinds every score is near 0."""
     weights = np.zeros(1 << TABLE_BITS, np.float32)
     spread = np.full(1 << TABLE_BITS, 1e-3, np.float32)
@@ -176,6 +192,7 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
         bias_spread += bias_grad**2
         bias = min(-4.0, bias - rate * bias_grad / bias_spread**0.5)
 
+    seen = 0
     for _ in range(max(epochs, -(-least_steps * batch // len(texts))) if texts else 0):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
@@ -185,8 +202,10 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
                 return share[chosen] * np.where(y[chosen] == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-6), 1.0)
 
             pull([texts[i] for i in chosen], likelihood, np.where(y[chosen] == 1, heard, 1.0))
-            swaps = [s for i in chosen for pair in pairs[i] for s in pair]
+            extra = [placed_sentence(texts[i], groups, rng) for i in chosen for _ in range(placed)] if groups else []
+            swaps = [s for pair in [*(p for i in chosen for p in pairs[i]), *filter(None, extra)] for s in pair]
             if swaps and penalty:
+                seen += len(swaps) // 2
 
                 def change(total: np.ndarray) -> np.ndarray:
                     safe = np.clip(total, 1e-6, 50)
@@ -195,7 +214,7 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
                     return 2 * penalty * gap / -np.expm1(-safe)
 
                 pull(swaps, change)
-    return Model(weights, float(bias))
+    return Model(weights, float(bias), seen)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1200, max_bytes: int = 1 << 16) -> tuple[list[str], list[int]]:
@@ -205,10 +224,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = 12
     key = F.col("doc_id").cast("string")
     open_rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & (F.crc32(key) % 5 != 0))
     pick = lambda v: open_rows.filter(F.col("toxic") == v).orderBy(F.md5(key), "doc_id").limit(rows_per_label)
-    # two limits bound what is broadcast and collected
-    ids = F.broadcast(pick(0).unionByName(pick(1)))
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(ids, "doc_id").select("text", "toxic", F.md5(key).alias("k")).limit(4 * rows_per_label).collect()
-    rows.sort(key=lambda r: (r["k"], r["toxic"], r["text"]))
+    # two limits bound what is broadcast; of rows that share an id the least text is collected
+    ids = F.broadcast(pick(0).unionByName(pick(1)).distinct())
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(ids, "doc_id").groupBy(F.md5(key).alias("k"), "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["k"], r["toxic"]))
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
