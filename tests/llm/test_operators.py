@@ -77,33 +77,47 @@ def test_mixing_keeps_columns_and_repeats_rows(docs, nothing, spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({k: v for k, v in copies.items() if v})
     assert mixing.mixed_documents(nothing).count() == 0
     same = spark.createDataFrame([(1, "a b", "en", "s", 0, 0, 0, "")] * 3 + [(None, "c", "en", "s", 0, 0, 0, "")], SCHEMA)
-    assert mixing.mix_sources(same).agg({"taken": "sum"}).first()[0] <= 7
-
-
-def test_sharding_is_contiguous_balanced_and_gapless(docs, rows, nothing):
-    got = sharding.shard_by_bytes(docs, whole_group=0.0).collect()
+    assert mixing.mix_sources(same).agg({"taken": "sum"}).first()[0] <= 3 * 7
+    order = mixing.mix_order(mixing._queue(docs, (1, 2, 3), 3, 17).cache()).collect()
+    ranked = sorted(order, key=lambda r: (r["part"], r["finish"], r["queue_key"]))
+    assert [r["finish"] for r in ranked] == sorted(r["finish"] for r in order)
+    assert Counter(r["doc_id"] for r in order if r["size"]) == Counter({r["doc_id"]: r["copies"] for r in mixing.mix_sources(docs).collect() if r["copies"] and r["size"]})
+
+
+def brute_shards(data, slack):
+    """doc_id -> (shard, slot) of rows (doc_id, text) by the stated law, a row at a time."""
+    order = sorted(((zlib.crc32((t or "").encode()), hashlib.md5((t or "").encode()).hexdigest(), i, len((t or "").encode()) + 1) for i, t in data))
+    total, at, edges, group = sum(r[3] for r in order), 0, [], {}
+    for crc, digest, _, size in order:
+        edges.append((at, at + size))
+        lo, _ = group.get((crc, digest), (at, at))
+        group[crc, digest] = (lo, at + size)
+        at += size
+    cuts = []
+    for k in range(1, 8):
+        target = total * k // 8
+        row = next(n for n, (a, b) in enumerate(edges) if a <= target < b)
+        near = min(group[order[row][:2]], key=lambda e: (abs(e - target), e))
+        cuts.append(near if abs(near - target) <= slack * total / 8 else min(edges[row], key=lambda e: (abs(e - target), e)))
+    out, seen = {}, Counter()
+    for (_, _, i, _), (a, _) in zip(order, edges, strict=True):
+        shard = sum(a >= c for c in cuts)
+        out[i] = (shard, seen[shard])
+        seen[shard] += 1
+    return out
+
+
+def test_sharding_against_brute_force(docs, rows, nothing, spark):
     size = {i: len((t or "").encode()) + 1 for i, t, *_ in rows}
     crc = {i: zlib.crc32((t or "").encode()) for i, t, *_ in rows}
-    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (size[i], crc[i]) for i in size}
-    slots = defaultdict(list)
-    for r in got:
-        slots[r["shard"]].append((r["slot"], r["doc_id"]))
-    total, order = sum(size.values()), [d for s in sorted(slots) for _, d in sorted(slots[s])]
-    assert order == sorted(size, key=lambda i: (crc[i], i))
-    at = 0
-    shard = {r["doc_id"]: r["shard"] for r in got}
-    for d in order:
-        assert shard[d] == min(7, (2 * at + size[d]) * 8 // (2 * total))
-        at += size[d]
-    assert all([s for s, _ in sorted(v)] == list(range(len(v))) for v in slots.values())
-    assert sharding.shard_by_bytes(nothing).count() == 0
-
-
-def test_sharding_keeps_small_groups_whole(spark):
     rng = random.Random(1)
-    data = [(i, words(rng, 40) if i % 7 else "the same text") for i in range(400)]
-    got = sharding.shard_by_bytes(spark.createDataFrame(data, "doc_id long, text string"), whole_group=0.9).collect()
-    assert len({r["shard"] for r in got if data[r["doc_id"]][1] == "the same text"}) == 1
+    many = [(i, words(rng, 40) if i % 3 else "the same text " * 10) for i in range(400)]
+    for frame, data in ((docs, [(i, t) for i, t, *_ in rows]), (spark.createDataFrame(many, "doc_id long, text string"), many)):
+        for slack in (0.0, sharding.SLACK, 0.9):
+            got = sharding.shard_by_bytes(frame, slack=slack).collect()
+            assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == brute_shards(data, slack)
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard_by_bytes(docs).collect()} == {i: (size[i], crc[i]) for i in size}
+    assert sharding.shard_by_bytes(nothing).count() == 0
 
 
 def test_exact_duplicates(docs, rows, nothing, spark):
@@ -111,10 +125,15 @@ def test_exact_duplicates(docs, rows, nothing, spark):
     low = {i: (t or "").translate({c: c + 32 for c in range(65, 91)}) for i, t, *_ in rows}
     for i, t in low.items():
         groups[t].append(i)
-    got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs, salts=2).collect()}
-    for i, t in low.items():
-        keep = max(groups[t])
-        assert tuple(got[i])[1:] == (keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest())
+    for options in ({}, {"salts": 2, "broadcast_rows": 0}):
+        got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs, **options).collect()}
+        for i, t in low.items():
+            keep = max(groups[t])
+            assert tuple(got[i])[1:] == (keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest())
+    hot = spark.createDataFrame([(i, "hot Text" if i % 3 else f"text {i}") for i in range(900)], "doc_id long, text string").repartition(6)
+    for rows_at_most in (0, 1000):
+        got = exact_dedup.exact_duplicates(hot, broadcast_rows=rows_at_most).groupBy("keep_id", "group_size").count().filter("group_size > 1").collect()
+        assert [tuple(r) for r in got] == [(899, 600, 600)]
     assert exact_dedup.exact_duplicates(nothing).count() == 0
     again = exact_dedup.exact_duplicates(spark.createDataFrame([(None, "É"), (3, "É"), (3, "É"), (4, "é")], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in again) == [(0, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (4, 4, 1, True)]
@@ -149,7 +168,7 @@ def test_near_duplicates(docs, rows, nothing, spark, monkeypatch):
     odd = spark.createDataFrame([(5, "a b c d e"), (5, "p q r s t"), (7, "A b c d e"), (None, "a b c d e"), (9, "p q r s t"), (5, "a b c d e")], "doc_id long, text string")
     got = near_dedup.near_duplicates(odd).collect()
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (9, 5), (None, None)} and len(got) == 6
-    assert sorted((r["doc_id"] or 0) for r in near_dedup.drop_near_duplicates(odd).collect()) == [0, 5]
+    assert sorted((r["doc_id"] or 0) for r in near_dedup.drop_near_duplicates(odd).collect()) == [0, 5, 5]
 
 
 def test_chains_of_near_copies_meet(spark):
@@ -337,6 +356,11 @@ def test_language_model_learns_and_gradients_are_right(spark):
         down = loss()[0]
         p[at] += 1e-3
         assert (up - down) / 2e-3 == pytest.approx(g[at], rel=2e-2)
+    again = spark.createDataFrame([(1, "bonjour mes amis", None)] + [(1, f"good morning {k % 300}", "en") for k in range(600)], "doc_id long, text string, lang string")
+    windows, labels = language_id.training_windows(again, docs_per_language=40)
+    assert set(labels) <= {"en"} and len(windows) <= 40 * 6 and b"bonjour" not in b" ".join(windows)
+    signs = spark.createDataFrame([(1, "\u00bd \u00b2 \u2460")], "doc_id long, text string")
+    assert language_id.identify_languages(signs, model).first()["lang_pred"] == "und"
     empty = language_id.train(frame.limit(0))
     assert {r["lang_pred"] for r in language_id.identify_languages(frame, empty).collect()} == {"und"}
 
@@ -352,11 +376,23 @@ def test_toxicity_holds_out_and_swaps(spark):
     neutral = ["muslims went to the garden", "christians went to the garden"]
     plain, regular = (toxicity.fit(texts, labels, penalty=p) for p in (0.0, 10.0))
     apart = lambda m: np.ptp(-np.expm1(-toxicity.exposure(m, neutral)))
-    assert apart(regular) < 0.5 * apart(plain)
+    assert apart(regular) < 0.5 * apart(plain) and regular.swaps > 0 == plain.swaps
+    # insults that come with one group only: neutral mentions of it are false alarms until swaps are penalised
+    biased = [f"{clean(6)} {'gay' if i % 2 else 'paper'} {'vile' if i % 2 and i % 8 != 1 else clean(1)} {clean(6)}." for i in range(240)]
+    mentions = [f"the gay {clean(1)} went to the {clean(1)}" for _ in range(50)]
+    alarms = lambda m: int((-np.expm1(-toxicity.exposure(m, mentions)) >= 0.5).sum())
+    before, after = (alarms(toxicity.fit(biased, labels, penalty=p)) for p in (0.0, 10.0))
+    assert before == 50 and after < 10
+    # no text names a group: terms are placed
+    named_none = toxicity.fit([clean(9) + (" vile" if i % 2 else "") for i in range(60)], [i % 2 for i in range(60)], epochs=2)
+    assert named_none.swaps >= 60 and toxicity.fit(["", "!"], [0, 1]).swaps == 0
     data = [(i, f"{clean(30)} {'scumbag' if i % 3 == 0 else ''} {clean(30)}") for i in range(200)]
     frame = spark.createDataFrame([*data, (900, None), (901, ""), (902, clean(80_000)), (903, clean(80_000) + " SCUMBAG!"), (None, "scumbag")], "doc_id long, text string").selectExpr("*", "'k' as tox_score")
     marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(5, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(frame, marks)
+    assert model.swaps > 0
+    shared = spark.createDataFrame([(2, f"text {k}") for k in range(50)] + [(4, "b")], "doc_id long, text string")
+    assert len(toxicity.labelled_sample(shared, spark.createDataFrame([(2, 1), (2, 0), (4, 1), (4, 1)], "doc_id long, toxic int"))[0]) in (0, 1, 2, 3)
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(frame, model).collect()}
     assert [i for i in range(200) if got[i]["tox_predicted"] != (i % 3 == 0)] == []
     assert [got[i]["tox_predicted"] for i in (900, 901, 902, 903, None)] == [0, 0, 0, 1, 1] and got[901]["tox_score"] == 0
@@ -377,3 +413,83 @@ def test_preferences(spark):
     assert "more <| im_end|>" in r["chosen"] and [r["rejected"][s["start"] : s["end"]] for s in r["rejected_loss"]] == ["bad<|im_end|>\n"]
     assert got[2]["rejected"] is None and got[2]["prompt_turns"] == 0 and "alone" in got[2]["chosen"]
     assert got[4]["prompt_turns"] == 1 and got[4]["rejected"] == "" and got[4]["chosen_loss"]
+
+
+def test_wide_token_ids(spark):
+    small = spark.createDataFrame([(1, "one two"), (2, "")], "doc_id long, text string")
+    narrow = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(small).collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(small, separator=70_000).collect()} == narrow
+
+
+def test_preference_pairs_share_their_head(spark):
+    data = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "b"), (1, 3, "user", "more"), (2, 0, "user", "x"), (None, 0, "user", "?"), (4, 0, "assistant", None)]
+    data += [(3, k, "user" if k % 2 else "assistant", words(random.Random(k), 3000)) for k in range(9)]
+    turns = spark.createDataFrame([(*r, 1) for r in data], "conv_id long, turn long, role string, text string, side int")
+    got = {r["pair_id"]: r for r in chat_formatting.format_preferences(chat_formatting.pairs_with_other_answers(turns)).collect()}
+    assert {k: r["prompt_turns"] for k, r in got.items()} == {0: 1, 1: 2, 2: 1, 3: 8, 4: 0}
+    assert "a<|im_end|>" in got[0]["chosen"] and got[0]["rejected"].count("b<|im_end|>") == 2
+    assert got[1]["rejected"] == "<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
+    assert (got[2]["chosen"], got[2]["rejected"]) == ("", "") and "w" in got[3]["chosen"]
+    assert chat_formatting.format_preferences(chat_formatting.pairs_with_other_answers(turns.limit(0))).count() == 0
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(21)
+    items = [(k, " ".join(words(rng, 1, 60) for _ in range(rng.randrange(1, 20)))) for k in range(12)] + [(90, None), (91, "!?")]
+    docs = []
+    for i in range(80):
+        text = words(rng, rng.randrange(0, 40), 60)
+        if i % 2:
+            chars = list(items[i % 12][1])
+            for _ in range(rng.randrange(0, max(2, len(chars) // 8))):
+                chars[rng.randrange(len(chars))] = rng.choice("abcdefg ")
+            text = f"{text} {''.join(chars)} {text[:30]}"
+        docs.append((i, text))
+    docs += [(500, None), (501, ""), (2, docs[1][1]), (2, docs[1][1])]
+
+    def least(item, text):  # Sellers: the item may start and end anywhere in the text
+        row = list(range(len(item) + 1))
+        best = row[-1]
+        for c in text:
+            diagonal, row[0] = row[0], 0
+            for k, x in enumerate(item, 1):
+                diagonal, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, diagonal + (x != c))
+            best = min(best, row[-1])
+        return best
+
+    expected = Counter()
+    for i, text in docs:
+        t = decontamination.normalised(text)
+        for k, item in items:
+            n = decontamination.normalised(item)
+            if n and t and (d := least(n, t)) <= decontamination.budget(n):
+                expected[i, k, d] += 1
+    frame = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, item_id int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontamination.BLOCK_BYTES, 100):
+        assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.find_leaks(frame, bench, block).collect()) == expected
+    assert len(expected) > 20
+
+
+def test_near_duplicates_near_the_threshold(spark):
+    """Every pair from 0.8 to 0.85 is found, and ids that stand for two texts link by either."""
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for k in range(150):
+        w = words(rng, rng.randrange(60, 400), 10**6).split()
+        v = list(w)
+        while True:
+            v[rng.randrange(len(v))] = f"x{rng.random()}"
+            a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, v))
+            share = len(a & b) / len(a | b)
+            if share < 0.85:
+                break
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        pairs.append(share >= 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(150)] == pairs and sum(pairs) > 60
+    a, b, c = (words(rng, 50, 10**6) for _ in range(3))
+    shared = spark.createDataFrame([(5, a, 1), (5, b, 1), (5, b, 2), (7, a + " more", 1), (8, b + " more", 1), (9, c, 1)], "doc_id long, text string, _first int")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(shared).collect()} == {5: 5, 7: 5, 8: 5, 9: 9}
+    kept = near_dedup.drop_near_duplicates(shared)
+    assert kept.columns == shared.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(5, a), (5, b), (9, c)])

@@ -44,3 +44,10 @@ def test_stages_take_effect_one_after_another(spark, tmp_path):
     assert kept["mixing"] == Counter({r["doc_id"]: r["copies"] for r in mixing.mix_sources(before).collect() if r["copies"]})
     assert kept["sharding"] == kept["mixing"]
     assert Counter(r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()) == kept["sharding"]
+
+
+def test_an_empty_table_passes_through(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
