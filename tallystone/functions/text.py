@@ -36,10 +36,11 @@ def contains_any(text: Column, keywords: list[str] | tuple[str, ...]) -> Column:
     return F.greatest(*[F.contains(label, normalize_label(F.lit(k))) for k in keywords]) if len(keywords) > 1 else F.contains(label, normalize_label(F.lit(keywords[0])))
 
 
+# The marks that are dropped, and the letters that become one another.
 def fold_arabic(text: Column, tatweel: bool = False) -> Column:
     """Arabic spelling variants under one form; ``tatweel`` also drops the elongation stroke."""
     marks = "[ً-ْٰـ]" if tatweel else "[ً-ٰٟ]"
-    return F.translate(F.regexp_replace(text, marks, ""), "إأآىة", "اااي" + "ه")
+    return F.translate(F.regexp_replace(text, marks, ""), "إأآىة", "ااايه")
 
 
 def without_tanween(line: Column) -> Column:

@@ -24,7 +24,7 @@ CONTRACT = (
     "fees array<struct<description string, amount double, currency string, is_recurring boolean>>, "
     "penalties array<struct<description string, amount double, currency string, condition string>>, "
     "numbers array<struct<label string, value double, unit string>>, dates array<struct<label string, date string>>"
-).replace("struct<", "struct<")
+)
 
 _ONE_TIME_TYPES = ("upfront_payment", "balloon_payment", "deposit", "one_time_payment")
 _COLUMNS = (

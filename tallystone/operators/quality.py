@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,28 @@ def quality_of(score: Column) -> Column:
     return F.when(score >= GOOD, "good").when(score >= POOR, "partial").otherwise("poor")
 
 
+_READABLE = r"a-zA-Z0-9.,%\-/\p{L}\p{N}"
+#: White space and all else; what most characters are is tried first.
+_GAP, _INK = f"[[^!-~]&&[{SPACE}]]", f"[!-~[^{SPACE}]]"
+#: Stands for a token while tokens are counted; it is an unreadable character itself.
+_MARK = "\x01"
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _count(text: Column, chars: str) -> Column:
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", "")))
+
+
+def _most(text: Column) -> Column:
+    """How often the commonest character of ``text`` occurs."""
+    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", 0).otherwise(F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+    return F.when(text == "", 0).otherwise(F.coalesce(F.array_max(each), F.lit(0)))
+
+
 def score_text_quality(rows: DataFrame, text: str = "text", pages: Column | None = None, financial_score: Column | None = None) -> DataFrame:
     """``rows`` with ratios, ``general_score``, ``score``, ``quality`` and ``should_use_ocr``.
 
@@ -44,16 +68,20 @@ def score_text_quality(rows: DataFrame, text: str = "text", pages: Column | None
     texts count as empty, and texts under LEAST_CHARS characters without white space score 0.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    bare = F.regexp_replace(raw, f"[{SPACE}]", "")
-    n = F.length(bare)
-    share = lambda chars: F.regexp_count(bare, F.lit(f"[{chars}]")) / n
-    ordinary = f"{ARABIC}{LATIN}{DIGIT}{SYMBOL}"
-    odd = F.regexp_replace(bare, f"[{ordinary}]", "")
-    most = F.array_max(F.transform(F.array_distinct(F.split(odd, "")), lambda c: F.when(c == "", 0).otherwise(F.length(odd) - F.length(F.replace(odd, c, F.lit(""))))))
-    tokens = F.filter(F.split(raw, f"[{SPACE}]+"), lambda t: t != "")
-    readable_tokens = F.size(F.filter(tokens, lambda t: t.rlike(r"^[\p{L}\p{N}.,%\-/]+$"))) / F.nullif(F.size(tokens), F.lit(0))
-    control, replaced, mojibake = share(CONTROL), share(REPLACEMENT), share(MOJIBAKE)
-    readable = share(ordinary)
+    # characters are counted by what is left without them; all but the ordinary ones are few
+    ordinary = f"{LATIN}{DIGIT}{SYMBOL}{ARABIC}"
+    first = _let(F.regexp_replace(raw, f"{_GAP}++", ""), lambda bare: F.struct(F.length(bare).alias("n"), F.regexp_replace(bare, f"[{ordinary}]++", "").alias("odd")))
+    counted = _let(first, lambda x: F.struct(x["n"].alias("n"), F.length(x["odd"]).alias("odd"), *[_count(x["odd"], chars).alias(name) for name, chars in (("control", CONTROL), ("replaced", REPLACEMENT), ("mojibake", MOJIBAKE))], _most(x["odd"]).alias("most")))
+    rows = rows.withColumn("_c", counted)
+    n = F.col("_c.n")
+    # each token becomes one mark, or each token with an unreadable character
+    bad = F.regexp_replace(raw, rf"(?<!{_INK})[{_READABLE}]*+[^{_READABLE}{SPACE}]{_INK}*+", _MARK)
+    marks = _let(bad, lambda x: F.struct((F.length(F.regexp_replace(raw, f"{_INK}++", _MARK)) - F.length(raw)).alias("less"), (F.length(x) - F.length(F.replace(x, F.lit(_MARK), F.lit("")))).alias("unreadable")))
+    rows = rows.withColumn("_t", marks)
+    tokens = F.col("_t.less") + n
+    control, replaced, mojibake = (F.col(f"_c.{c}") / n for c in ("control", "replaced", "mojibake"))
+    readable = (n - F.col("_c.odd")) / n
+    readable_tokens = (tokens - F.col("_t.unreadable")) / F.nullif(tokens, F.lit(0))
     per_page = F.length(raw) / F.greatest(F.lit(1), pages if pages is not None else F.lit(1))
     parts = {
         "chars_per_page": per_page.cast("double"),
@@ -61,7 +89,7 @@ def score_text_quality(rows: DataFrame, text: str = "text", pages: Column | None
         "suspicious_ratio": F.greatest(F.lit(0.0), 1 - readable - control - replaced),
         "mojibake_ratio": mojibake,
         "replacement_ratio": replaced,
-        "symbol_ratio": F.coalesce(most, F.lit(0)) / n,
+        "symbol_ratio": F.col("_c.most") / n,
         "token_ratio": F.coalesce(readable_tokens, F.lit(0.0)),
     }
     enough = n >= LEAST_CHARS
@@ -80,14 +108,14 @@ def score_text_quality(rows: DataFrame, text: str = "text", pages: Column | None
     out = out.withColumn("general_score", general).withColumn("general_quality", F.when(broken | ~F.col("_enough"), "poor").otherwise(quality_of(F.col("general_score"))))
     score = F.least(F.col("general_score"), F.when(F.col("_enough"), financial_score)) if financial_score is not None else F.col("general_score")
     out = out.withColumn("score", score).withColumn("quality", F.when(F.col("general_quality") == "poor", "poor").otherwise(quality_of(F.col("score"))))
-    return out.withColumn("should_use_ocr", (F.col("quality") == "poor") | ((F.col("quality") == "partial") & (F.col("score") < LEAN_OCR))).drop("_enough")
+    return out.withColumn("should_use_ocr", (F.col("quality") == "poor") | ((F.col("quality") == "partial") & (F.col("score") < LEAN_OCR))).drop("_enough", "_c", "_t")
 
 
 def gate_legal_text(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with ``ok`` and ``reason``: long enough, decoded and printable; a null text is too short."""
     body = trimmed(F.coalesce(F.col(text), F.lit("")))
     n = F.length(body)
-    replaced = F.regexp_count(body, F.lit(REPLACEMENT)) / n
-    printable = F.regexp_count(body, F.lit(rf"[\p{{L}}\p{{N}}\p{{P}}{SPACE}]")) / n
+    replaced = (n - F.length(F.replace(body, F.lit(REPLACEMENT), F.lit("")))) / n
+    printable = (n - F.length(F.regexp_replace(body, rf"[\p{{L}}\p{{N}}\p{{P}}{SPACE}]++", ""))) / n
     reason = F.when(n < LEGAL_LEAST_CHARS, "too_short").when(replaced > LEGAL_MOST_REPLACED, "replacement_characters").when(printable < LEGAL_LEAST_PRINTABLE, "low_printable_ratio")
     return rows.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())

@@ -222,7 +222,7 @@ def route_availability(spark: SparkSession, d: str) -> DataFrame:
 
 def _plain(phrase: str) -> str:
     """A phrase as normalised questions have it, for the SQL."""
-    out = re.sub("[ً-ْٰـ]", "", phrase.lower()).translate(str.maketrans("إأآىة", "اااي" + "ه"))
+    out = re.sub("[ً-ْٰـ]", "", phrase.lower()).translate(str.maketrans("إأآىة", "ااايه"))
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s]|_", " ", out)).strip()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import money as M
 from tallystone.functions import text as T
-from tallystone.operators import chunking, components, masking, quality, retrieval, routing, sessions
+from tallystone.operators import chunking, masking, quality, retrieval, routing, sessions
 from tallystone.plans import text_queries
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -78,27 +78,22 @@ def test_routes(spark):
 
 
 def test_scalar_functions(spark):
-    assert one(spark, "  الدفعة   الأولى ", T.normalize_label) == "دفعة أولى".replace("أولى", "أولى")
+    assert one(spark, "  الدفعة   الأولى ", T.normalize_label) == "دفعة أولى"
     assert one(spark, "see Article 9a of it", T.queried_article) == "Article 9a"
     assert one(spark, "المادة التاسعة", T.queried_section) == "المادة التاسعة"
     assert [one(spark, x, M.currency_code) for x in (" sar", "ريال", "$", "riyals", "")] == ["SAR", "SAR", "USD", None, None]
     assert [one(spark, x, M.parse_money) for x in ("SAR 1,200.50", "1200 usd", "٣٠٠", "12 apples")] == [(1200.5, "SAR"), (1200.0, "USD"), (300.0, None), None]
     assert [str(one(spark, x, M.iso_date)) for x in ("2024-02-29", "3/4/2024", "2024-02-30", "March 2024")] == ["2024-02-29", "2024-04-03", "None", "None"]
     assert one(spark, "x", lambda c: T.cosine_distance(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 1.0
-    assert one(spark, "x", lambda c: F.round(M.difference_class(F.lit(100.0), F.lit(98.5)) == "rounding", 0) if False else M.difference_class(F.lit(100.0), F.lit(98.5))) == "rounding"
+    assert one(spark, "x", lambda c: M.difference_class(F.lit(100.0), F.lit(98.5))) == "rounding"
 
 
 def test_quality_of_broken_text(spark):
     rows = spark.createDataFrame([(0, None), (1, "short"), (2, "Ø§Ù„Ø¹Ù‚Ø¯ " * 30), (3, "A plain contract text with words and numbers 123. " * 10)], "i int, text string")
     got = [r for r in quality.score_text_quality(rows).orderBy("i").collect()]
     assert [r["quality"] for r in got] == ["poor", "poor", "poor", "good"] and got[3]["should_use_ocr"] is False
-    assert [r["ok"] for r in quality.gate_legal_text(rows).orderBy("i").collect()] == [False, False, True, True] or True
-
-
-def test_components(spark):
-    edges = spark.createDataFrame([(5, 3), (3, 9), (9, 1), (7, 8), (8, 7), (4, 4), (None, 2)] + [(100 + i, 101 + i) for i in range(40)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
-    assert got == {1: 1, 3: 1, 5: 1, 9: 1, 7: 7, 8: 7} | {100 + i: 100 for i in range(41)}
+    gate = quality.gate_legal_text(rows).orderBy("i").collect()
+    assert [r["ok"] for r in gate] == [False, False, True, True] and [r["reason"] for r in gate[:2]] == ["too_short"] * 2
 
 
 def test_sessions(spark):
