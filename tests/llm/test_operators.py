@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallystone.llm import chat_formatting, decontamination, exact_dedup, language_id, lyndon_suffixes, mixing, near_dedup, sharding, suffix_dedup, token_counts, toxicity
+from tallystone.llm import chat_formatting, components, decontamination, exact_dedup, language_id, lyndon_suffixes, mixing, near_dedup, sharding, suffix_dedup, token_counts, toxicity
 from tallystone.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, n long, kept string"
@@ -493,3 +493,9 @@ def test_near_duplicates_near_the_threshold(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(shared).collect()} == {5: 5, 7: 5, 8: 5, 9: 9}
     kept = near_dedup.drop_near_duplicates(shared)
     assert kept.columns == shared.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(5, a), (5, b), (9, c)])
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 3), (3, 9), (9, 1), (7, 8), (8, 7), (4, 4), (None, 2)] + [(100 + i, 101 + i) for i in range(40)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 9: 1, 7: 7, 8: 7} | {100 + i: 100 for i in range(41)}
