@@ -238,3 +238,19 @@ CURRENCY_NAMES = {
     "aed": "AED",
     "درهم": "AED",
 }
+
+# Concepts that a clause can state: the title of its own, then its key phrases.
+CLAUSE_ANCHORS = {
+    "late_payment": ("التأخر في السداد", "التأخر في السداد", "التأخر عن سداد", "التأخير في الدفع", "late payment", "overdue payment", "payment delay"),
+    "collection_cost": ("تكاليف التحصيل", "تكاليف التحصيل", "رسوم التحصيل", "تكلفة التحصيل", "collection cost", "collection fee", "collection charges"),
+    "early_settlement": ("السداد المبكر", "السداد المبكر", "التسوية المبكرة", "الوفاء المبكر", "early settlement", "early repayment", "early payoff"),
+    "ownership": ("ملكية الأصل", "ملكية المركبة", "ملكية العقار", "تسجيل المركبة", "تبقى المركبة مسجلة", "vehicle ownership", "title to the vehicle", "remains registered"),
+    "insurance_first_year": ("التأمين للسنة الأولى", "للسنة الأولى", "السنة الأولى فقط", "first year only", "for the first year", "included for the first year", "first-year insurance"),
+    "insurance_renewal": ("تجديد التأمين للسنوات اللاحقة", "تجديد التأمين", "السنوات اللاحقة", "السنوات التالية", "insurance renewal", "renewal for subsequent years", "later years", "subsequent years"),
+    "automatic_renewal": ("التجديد التلقائي", "التجديد التلقائي", "يتجدد العقد تلقائيا", "يتجدد تلقائيا", "renewed automatically", "automatic renewal", "auto-renewal", "auto renewal"),
+    "cancellation": ("إلغاء الاشتراك", "إلغاء الاشتراك", "إلغاء العقد", "الإلغاء قبل", "cancel the subscription", "cancellation of the agreement", "cancel this agreement"),
+    "termination_notice": ("إشعار إنهاء العقد", "إشعار إنهاء العقد", "إشعار بالإنهاء", "مهلة الإخطار بالإنهاء", "termination notice", "notice of termination", "notice period for termination"),
+    "termination_fee": ("رسوم إنهاء العقد", "رسوم إنهاء العقد", "غرامة الإنهاء", "غرامة الإنهاء المبكر", "termination fee", "early termination fee", "termination penalty"),
+    "maintenance_duty": ("الالتزام بالصيانة", "الالتزام بالصيانة", "أعمال الصيانة الدورية", "مسؤولية الصيانة", "maintenance obligation", "routine maintenance duty", "responsible for maintenance"),
+    "damage_compensation": ("التعويض عن الأضرار", "التعويض عن الأضرار", "تعويض عن التلف", "تعويض عن الضرر", "compensation for damage", "damages compensation", "compensate for any damage"),
+}
