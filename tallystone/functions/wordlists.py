@@ -254,3 +254,60 @@ CLAUSE_ANCHORS = {
     "maintenance_duty": ("الالتزام بالصيانة", "الالتزام بالصيانة", "أعمال الصيانة الدورية", "مسؤولية الصيانة", "maintenance obligation", "routine maintenance duty", "responsible for maintenance"),
     "damage_compensation": ("التعويض عن الأضرار", "التعويض عن الأضرار", "تعويض عن التلف", "تعويض عن الضرر", "compensation for damage", "damages compensation", "compensate for any damage"),
 }
+
+# From special keys to the public types of informational amounts.
+INFORMATIONAL_TYPES = {
+    "principal": "principal", "creditLimit": "credit_limit", "outstandingBalance": "outstanding_balance", "monthlyIncome": "monthly_income", "statedTotalCost": "stated_total_cost",
+    "insuranceDeductible": "insurance_deductible", "coverageAmount": "coverage_amount", "rate": "rate", "recurringEquivalent": "annual_equivalent", "statedDueAtSigning": "stated_due_at_signing",
+    "salaryComponent": "salary_component", "statedTotalCompensation": "total_fixed_compensation",
+}
+# Concepts by the type of an item, by source.
+TYPE_CONCEPTS = {
+    "informational": {
+        "principal": "financing_principal", "credit_limit": "credit_limit", "coverage_amount": "coverage_limit", "insurance_deductible": "deductible", "monthly_income": "salary", "rate": "interest_rate",
+        "asset_value": "asset_value", "annual_equivalent": "annual_rent",
+    },
+    "obligation": {"upfront_payment": "down_payment", "deposit": "security_deposit", "insurance": "insurance_premium", "tax": "tax", "balloon_payment": "final_payment"},
+    "fee": {
+        "administration": "administrative_fee", "processing": "processing_fee", "subscription": "subscription_fee", "insurance": "insurance_premium", "maintenance": "maintenance_cost", "transfer": "transfer_fee",
+        "registration": "registration_fee", "service": "service_fee", "renewal": "renewal_cost", "tax": "tax",
+    },
+    "penalty": {"late_payment": "late_fee", "early_termination": "early_termination_fee", "early_settlement": "early_settlement_fee", "default": "collection_cost", "cancellation": "cancellation_fee", "returned_payment": "returned_payment_fee"},
+}
+# Concepts by words of a label, in the order in which they claim it.
+LABEL_CONCEPTS = {
+    "administrative_fee": ("administrative", "admin fee", "إداري", "رسوم إدارية"),
+    "brokerage_fee": ("brokerage", "broker", "وساطة", "سمسرة"),
+    "financing_cost": ("financing cost", "cost of financing", "تكلفة التمويل"),
+    "final_payment": ("final payment", "balloon", "residual value", "دفعة ختامية", "القيمة المتبقية"),
+    "monthly_rent": ("rent", "إيجار"),
+    "salary": ("salary", "wage", "راتب", "أجر"),
+    "allowance": ("allowance", "بدل"),
+    "bonus": ("bonus", "مكافأة"),
+    "late_fee": ("late", "overdue", "تأخير"),
+    "early_termination_fee": ("early termination", "termination fee", "إنهاء مبكر", "إنهاء العقد"),
+    "early_settlement_fee": ("early settlement", "early repayment", "سداد مبكر", "التسوية المبكرة"),
+    "collection_cost": ("collection", "تحصيل"),
+    "cancellation_fee": ("cancellation", "إلغاء"),
+    "returned_payment_fee": ("returned payment", "bounced", "شيك مرتجع"),
+}
+# What recurs in a contract of a type, and concepts by role.
+RECURRING_CONCEPTS = {
+    "auto_finance": "monthly_installment", "personal_finance": "monthly_installment", "mortgage": "monthly_installment", "subscription": "subscription_fee", "credit_card": "minimum_payment", "employment": "salary",
+    "insurance": "insurance_premium",
+}
+ROLE_CONCEPTS = {
+    "one_time_outflow": "one_time_payment", "upfront_liquidity": "one_time_payment", "refundable": "security_deposit", "credit_limit": "credit_limit", "coverage_limit": "coverage_limit",
+    "financing_principal": "financing_principal", "asset_value": "asset_value", "income": "salary", "refund": "refund",
+}
+# Roles that are never due, concepts that are fees, and words that state a cap.
+INFORMATIONAL_ROLES = ("income", "credit_limit", "coverage_limit", "asset_value", "benefit", "refund", "rate_or_percentage", "informational_total", "financing_principal", "deduction")
+FEE_LIKE_CONCEPTS = (
+    "administrative_fee", "processing_fee", "brokerage_fee", "service_fee", "maintenance_cost", "renewal_cost", "registration_fee", "transfer_fee", "subscription_fee", "annual_fee", "insurance_premium", "financing_cost",
+)
+SAYS_STATED_CAP = ("up to", "maximum", "capped at", "not exceeding", "no more than", "حتى", "بحد أقصى", "لا يتجاوز")
+# Headline figures in order; "duration" is the contract's own.
+KEY_FIGURES = (
+    "monthly_installment", "monthly_rent", "duration", "down_payment", "total_repayment", "final_payment", "financing_principal", "interest_rate", "salary", "credit_limit", "security_deposit", "insurance_premium",
+    "minimum_payment", "annual_fee", "subscription_fee", "administrative_fee", "brokerage_fee",
+)
