@@ -311,3 +311,26 @@ KEY_FIGURES = (
     "monthly_installment", "monthly_rent", "duration", "down_payment", "total_repayment", "final_payment", "financing_principal", "interest_rate", "salary", "credit_limit", "security_deposit", "insurance_premium",
     "minimum_payment", "annual_fee", "subscription_fee", "administrative_fee", "brokerage_fee",
 )
+
+# Arabic number words as ``lookup_form`` writes them; a thousand multiplies what stands before it.
+NUMBER_WORDS = {
+    "صفر": 0, "واحد": 1, "احد": 1, "اثنان": 2, "اثنين": 2, "ثلاثه": 3, "اربعه": 4, "خمسه": 5, "سته": 6, "سبعه": 7, "ثمانيه": 8, "تسعه": 9, "عشر": 10, "عشره": 10,
+    "عشرون": 20, "عشرين": 20, "ثلاثون": 30, "ثلاثين": 30, "اربعون": 40, "اربعين": 40, "خمسون": 50, "خمسين": 50, "ستون": 60, "ستين": 60, "سبعون": 70, "سبعين": 70, "ثمانون": 80, "ثمانين": 80, "تسعون": 90, "تسعين": 90,
+    "مايه": 100, "ميه": 100, "مايتان": 200, "ميتان": 200, "مايتين": 200, "ميتين": 200, "ثلاثمايه": 300, "ثلاثميه": 300, "اربعمايه": 400, "اربعميه": 400, "خمسمايه": 500, "خمسميه": 500,
+    "ستمايه": 600, "ستميه": 600, "سبعمايه": 700, "سبعميه": 700, "ثمانمايه": 800, "ثمانميه": 800, "تسعمايه": 900, "تسعميه": 900,
+}
+TWO_THOUSAND = ("الفان", "الفين")
+THOUSAND = ("الف", "الفا", "الاف")
+PERCENT_WORDS = ("بالمايه", "بالميه", "في المايه", "في الميه", "%", "٪")
+# Figures of a financing agreement: unit, then labels in order of preference.
+RECOVERED_FIELDS = {
+    "cash_price": ("SAR", "السعر النقدي", "السعر الإجمالي", "cash price"),
+    "down_payment": ("SAR", "الدفعة الأولى", "المقدم", "down payment"),
+    "financed_amount": ("SAR", "أصل التمويل", "المبلغ الممول", "financed amount", "principal"),
+    "profit_rate": ("percent", "نسبة الربح", "هامش التمويل", "profit rate"),
+    "total_profit": ("SAR", "إجمالي الربح", "total profit"),
+    "total_payable": ("SAR", "إجمالي المبلغ الواجب سداده", "total payable"),
+    "term_months": ("months", "مدة التمويل", "financing term"),
+    "installment": ("SAR", "قيمة القسط", "القسط الشهري", "monthly installment"),
+}
+UNIT_ENDS = {"SAR": "ريال", "percent": "بالمائة|بالمئة|في المائة|في المئة|%|٪", "months": "شهر"}
