@@ -29,16 +29,14 @@ def trim_to_budget(items: DataFrame, by: list[str], budget: int = TOKEN_BUDGET,
     """Items of each group without the least relevant ones, dropped until the estimate fits ``budget``.
 
     The most relevant one stays whatever its size; of equal items the earlier goes first. Returns the
-    items with ``tokens``. One window per group: an item goes if the tokens of the items that would go
-    before it leave the total above the budget.
+    items with ``tokens``. An item costs ITEM_TOKENS at least, so only so many of the most relevant can
+    stay: the tasks cut each group to them before anything is shuffled.
     """
-    group = Window.partitionBy(*by)
-    order = group.orderBy(F.asc(relevance), F.col(ordinal))
-    out = items.withColumn("tokens", estimate_tokens(F.col(text)) + ITEM_TOKENS)
-    total = F.sum("tokens").over(group) + BASE_TOKENS
-    gone = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = F.row_number().over(order) == F.count("*").over(group)
-    return out.withColumn("_keep", (total - gone <= budget) | last).filter("_keep").drop("_keep")
+    best = Window.partitionBy(*by).orderBy(F.desc(relevance), F.desc(ordinal))
+    few = items.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= max((budget - BASE_TOKENS) // ITEM_TOKENS, 1))
+    out = few.withColumn("tokens", estimate_tokens(F.col(text)) + ITEM_TOKENS)
+    upto = F.sum("tokens").over(best.rowsBetween(Window.unboundedPreceding, 0)) + BASE_TOKENS
+    return out.withColumn("_keep", (upto <= budget) | (F.col("_n") == 1)).filter("_keep").drop("_keep", "_n")
 
 
 def allowed_citations(cited: DataFrame, allowed: DataFrame, on: list[str], by: list[str], ordinal: str = "ordinal") -> DataFrame:

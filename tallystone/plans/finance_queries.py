@@ -102,12 +102,14 @@ def _cost_rows(spark: SparkSession, d: str) -> DataFrame:
         finance.known_sum(a, c, sure & one & (F.col("category") == "unknown")).alias("balloon"),
         finance.known_sum(a, c, sure & ~one & (F.col("ordinal") == 3)).alias("mandatory_fees"),
         finance.known_sum(a * M.monthly_factor(F.col("frequency")), c, sure & ~one & (F.col("ordinal") != 3)).alias("monthly_equivalent"),
+        finance.known_sum(a, c, F.coalesce(F.col("conditional"), F.lit(False))).alias("penalties"),
     )
     orders = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("contract_id"),
         finance.money(F.col("o_totalprice"), F.when(F.col("o_orderkey") % 4 != 0, "SAR")).alias("stated_total"),
         finance.money(F.col("o_totalprice"), F.when(F.col("o_orderkey") % 3 != 0, "SAR")).alias("principal"),
         F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_custkey") % 24).cast("int")).alias("months"),
+        finance.money(F.col("o_totalprice"), F.lit("SAR")).alias("income"),
     )
     return finance.total_cost(per.join(orders, "contract_id"))
 
@@ -119,7 +121,8 @@ def total_cost_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def safe_ratios(spark: SparkSession, d: str) -> DataFrame:
     r = _cost_rows(spark, d)
-    return r.select("contract_id", finance.ratio(F.col("mandatory_fees"), F.col("principal")).alias("fees_to_base"), finance.ratio(F.col("upfront_obligations"), F.col("principal")).alias("upfront_to_base"), finance.ratio(F.col("financing_cost"), F.col("principal")).alias("cost_increase"))
+    ratios = {"fees_to_base": "mandatory_fees", "penalties_to_base": "penalties", "upfront_to_base": "upfront_obligations", "balloon_to_base": "balloon", "cost_increase": "financing_cost"}
+    return r.select("contract_id", *[finance.ratio(F.col(x), F.col("principal")).alias(name) for name, x in ratios.items()], finance.ratio(F.col("monthly_equivalent"), F.col("income")).alias("recurring_to_income"))
 
 
 def _combine(parts: list[str], name: str) -> str:
@@ -133,8 +136,8 @@ _SURE = "coalesce(mandatory, false) AND NOT coalesce(conditional, false)"
 _COST_CTE = f"""
 WITH i AS (SELECT *, amount * ({_FACTOR}) AS m, {_SURE} AS sure, frequency = 'one_time' AS one FROM {_SQL_VIEW}),
 p AS (SELECT contract_id, {_sum_sql('amount', "sure AND one AND category <> 'unknown'", 'upfront')}, {_sum_sql('amount', "sure AND one AND category = 'unknown'", 'balloon')},
-  {_sum_sql('amount', 'sure AND NOT one AND ordinal = 3', 'fees')}, {_sum_sql('m', 'sure AND NOT one AND ordinal <> 3', 'monthly')} FROM i GROUP BY contract_id),
-o AS (SELECT p.*, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS stated_value, CASE WHEN o_orderkey % 4 <> 0 THEN 'SAR' END AS stated_currency,
+  {_sum_sql('amount', 'sure AND NOT one AND ordinal = 3', 'fees')}, {_sum_sql('m', 'sure AND NOT one AND ordinal <> 3', 'monthly')}, {_sum_sql('amount', 'coalesce(conditional, false)', 'penalties')} FROM i GROUP BY contract_id),
+o AS (SELECT p.*, o_totalprice AS income_value, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS stated_value, CASE WHEN o_orderkey % 4 <> 0 THEN 'SAR' END AS stated_currency,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS principal_value, CASE WHEN o_orderkey % 3 <> 0 THEN 'SAR' END AS principal_currency,
   CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 24 END AS months FROM p JOIN orders ON o_orderkey = contract_id),
 s AS (SELECT *, CASE WHEN months IS NOT NULL THEN CAST(round(CAST(monthly_value * months AS DECIMAL(38,6)), 2) AS DOUBLE) END AS scheduled_value, CASE WHEN months IS NOT NULL THEN monthly_currency END AS scheduled_currency FROM o),
@@ -154,7 +157,8 @@ def _ratio_sql(n: str, name: str) -> str:
     return f"CASE WHEN {n}_currency = principal_currency AND principal_value <> 0 THEN CAST(round(CAST({n}_value / principal_value * 100 AS DECIMAL(38,6)), 2) AS DOUBLE) END AS {name}"
 
 
-_RATIO_SQL = f"{_COST_CTE} SELECT contract_id, {_ratio_sql('fees', 'fees_to_base')}, {_ratio_sql('upfront', 'upfront_to_base')}, {_ratio_sql('financing_cost', 'cost_increase')} FROM g"
+_INCOME = "CASE WHEN monthly_currency = 'SAR' AND income_value <> 0 THEN CAST(round(CAST(monthly_value / income_value * 100 AS DECIMAL(38,6)), 2) AS DOUBLE) END AS recurring_to_income"
+_RATIO_SQL = f"{_COST_CTE} SELECT contract_id, {_ratio_sql('fees', 'fees_to_base')}, {_ratio_sql('penalties', 'penalties_to_base')}, {_ratio_sql('upfront', 'upfront_to_base')}, {_ratio_sql('balloon', 'balloon_to_base')}, {_ratio_sql('financing_cost', 'cost_increase')}, {_INCOME} FROM g"
 
 
 def single_currency_backfill(spark: SparkSession, d: str) -> DataFrame:

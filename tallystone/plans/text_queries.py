@@ -29,6 +29,20 @@ def pii_category_counts(spark: SparkSession, d: str) -> DataFrame:
     return masked.groupBy("role").agg(*[F.sum(c).alias(c) for c in masking.CATEGORIES])
 
 
+_LABELLED = """SELECT conv_id, turn, text || CASE (conv_id + turn) % 6 WHEN 0 THEN ' commercial registration 1010456789' WHEN 1 THEN ' national id: 1098765432' WHEN 2 THEN ' 1098765432 cr.'
+  WHEN 3 THEN ' السجل التجاري 1010456789 ثم رقم الهوية 1098765432' WHEN 4 THEN ' iqama 2098765432' ELSE ' cr was asked, then national id 1098765432' END AS text FROM conversations"""
+
+
+def labelled_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Ten-digit numbers beside labels of companies and persons in both languages, told apart by the nearest."""
+    rows = spark.sql(_LABELLED.replace("FROM conversations", "FROM {t}"), t=table(spark, d, "conversations"))
+    return masking.mask_pii(rows).select("conv_id", "turn", "commercial_registrations", "national_ids", "iqama_numbers", F.regexp_extract("masked_text", r"(\[COMMERCIAL_REGISTRATION\]|\[NATIONAL_ID\]|\[IQAMA\])[^\[]*$", 1).alias("last"))
+
+
+_LABELLED_SQL = """SELECT conv_id, turn, CAST(k IN (0, 2, 3) AS INTEGER) AS commercial_registrations, CAST(k IN (1, 3, 5) AS INTEGER) AS national_ids, CAST(k = 4 AS INTEGER) AS iqama_numbers,
+  CASE WHEN k IN (0, 2) THEN '[COMMERCIAL_REGISTRATION]' WHEN k = 4 THEN '[IQAMA]' ELSE '[NATIONAL_ID]' END AS last FROM (SELECT conv_id, turn, (conv_id + turn) % 6 AS k FROM conversations)"""
+
+# The patterns of masking, in order.
 _STEPS = [
     ("ibans", r"(?i)\bSA\d{2}[0-9A-Z]{20}\b", "[IBAN]"),
     ("national_ids", r"\b1\d{9}\b", "[NATIONAL_ID]"),
@@ -147,16 +161,16 @@ _DISTANCE = "1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAS
 
 
 def hybrid_contract_search(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _docs(spark, d).filter("source = 'src0'").join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    chunks = _docs(spark, d).filter("source = 'src0'").join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     words = T.contract_keyword_score(F.col("text"), F.lit(None).cast("string"), F.lit(QUESTION))
     return retrieval.search_contract(chunks, _query_vector(spark, d), words, ties="doc_id").select("doc_id", F.round("score", 5).alias("score"), "excerpt")
 
 
 _CLAUSE_WORDS = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2)"
 _CONTRACT_SEARCH_SQL = f"""
-WITH c AS (SELECT d.doc_id, d.text, {_DISTANCE} AS dist FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.source = 'src0'),
+WITH c AS (SELECT d.doc_id, d.text, {_DISTANCE} AS dist FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.source = 'src0'),
 v AS (SELECT *, row_number() OVER (ORDER BY dist, doc_id) AS n FROM c),
-s AS (SELECT doc_id, text, (CASE WHEN n <= 40 THEN 1 - dist ELSE 0 END) * 0.65 + least(len(list_filter({_CLAUSE_WORDS.format(repr(_Q))}, lambda t: list_contains({_CLAUSE_WORDS.format('text')}, t))) * 0.05, 1.0) * 0.35 AS score FROM v),
+s AS (SELECT doc_id, text, (CASE WHEN n <= 40 AND dist IS NOT NULL THEN 1 - dist ELSE 0 END) * 0.65 + least(len(list_filter({_CLAUSE_WORDS.format(repr(_Q))}, lambda t: list_contains({_CLAUSE_WORDS.format('text')}, t))) * 0.05, 1.0) * 0.35 AS score FROM v),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM s WHERE score >= 0.12),
 b AS (SELECT *, 6000 - coalesce(sum(least(length(text), 600)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM r WHERE k <= 10)
 SELECT doc_id, round(score, 5) AS score, substr(text, 1, CAST(least(600, room) AS BIGINT)) AS excerpt FROM b WHERE room > 0
@@ -173,10 +187,10 @@ def hybrid_legal_search(spark: SparkSession, d: str) -> DataFrame:
 
 _LEGAL_SEARCH_SQL = f"""
 WITH c AS (SELECT d.doc_id, d.source, d.text, {_DISTANCE} AS dist, {_KEYWORD_SQL} AS kw FROM (SELECT *, text || ' ' || CASE WHEN doc_id % 10 = 9 THEN 'article 9' ELSE '' END || ' ' || source AS h FROM documents) d
-        JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.source IN ('src1', 'src2', 'src3')),
+        LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.source IN ('src1', 'src2', 'src3')),
 p AS (SELECT *, source <> 'src3' AS pref FROM c),
 v AS (SELECT *, row_number() OVER (PARTITION BY pref ORDER BY dist, doc_id) AS vn, row_number() OVER (PARTITION BY pref ORDER BY kw DESC, doc_id) AS kn FROM p),
-h AS (SELECT *, (CASE WHEN vn <= 15 THEN 1 - dist ELSE 0 END) + (CASE WHEN kn <= 15 AND kw > 0 THEN kw ELSE 0 END) * 0.05 AS raw FROM v WHERE vn <= 15 OR (kn <= 15 AND kw > 0)),
+h AS (SELECT *, (CASE WHEN vn <= 15 AND dist IS NOT NULL THEN 1 - dist ELSE 0 END) + (CASE WHEN kn <= 15 AND kw > 0 THEN kw ELSE 0 END) * 0.05 AS raw FROM v WHERE (vn <= 15 AND dist IS NOT NULL) OR (kn <= 15 AND kw > 0)),
 f AS (SELECT *, raw + CASE WHEN pref THEN 0.05 ELSE 0 END AS score FROM h WHERE raw >= 0.12),
 u AS (SELECT * FROM f WHERE pref OR NOT (SELECT bool_or(pref) FROM f)),
 r AS (SELECT *, row_number() OVER (ORDER BY doc_id % 10 = 9 DESC, score DESC, doc_id) AS k FROM u),
@@ -196,7 +210,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
 
 
-_RANKED_SQL = "(SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 15)"
+_RANKED_SQL = "(SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)"
 
 
 def excerpt_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -209,11 +223,11 @@ def context_bound(spark: SparkSession, d: str) -> DataFrame:
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     relevance = (F.col("doc_id") * 37 % 101) / 100
-    return _docs(spark, d).select("source", F.col("lang").alias("pool"), "doc_id", F.substring("text", 1, 600).alias("excerpt"), F.least(relevance, F.lit(1.0)).alias("relevance"))
+    return _docs(spark, d).select("source", F.col("lang").alias("pool"), "doc_id", "text", F.substring("text", 1, 600).alias("excerpt"), F.least(relevance, F.lit(1.0)).alias("relevance"))
 
 
 def token_budget_trim(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.trim_to_budget(_evidence(spark, d), ["source"], ordinal="doc_id").select("source", "doc_id", "tokens")
+    return evidence.trim_to_budget(_evidence(spark, d).drop("text"), ["source"], ordinal="doc_id").select("source", "doc_id", "tokens")
 
 
 _TRIM_SQL = """
@@ -225,12 +239,12 @@ SELECT source, doc_id, tokens FROM w WHERE total - gone <= 4000 OR n = c
 
 
 def dedupe_and_rank(spark: SparkSession, d: str) -> DataFrame:
-    items = _evidence(spark, d).withColumn("key", F.substring("excerpt", 1, 1))
+    items = _evidence(spark, d).withColumn("key", F.sha2("text", 256))
     return evidence.dedupe_and_rank(items, ["source", "pool"], "key", 6, ordinal="doc_id").select("source", "pool", "key", "doc_id")
 
 
 _DEDUPE_SQL = """
-WITH e AS (SELECT source, lang AS pool, substr(text, 1, 1) AS key, doc_id, least((doc_id * 37 % 101) / 100, 1.0) AS rel FROM documents),
+WITH e AS (SELECT source, lang AS pool, sha256(text) AS key, doc_id, least((doc_id * 37 % 101) / 100, 1.0) AS rel FROM documents),
 f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY source, pool, key ORDER BY rel DESC, doc_id) = 1)
 SELECT source, pool, key, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY source, pool ORDER BY rel DESC, doc_id) <= 6
 """
@@ -264,13 +278,18 @@ def ttl_cleanup_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_semijoin(spark: SparkSession, d: str) -> DataFrame:
-    cited = table(spark, d, "conversations").select(F.col("conv_id").alias("answer"), (F.col("conv_id") * 7 % 50).alias("item_id"), F.col("turn").alias("ordinal"))
-    return evidence.allowed_citations(cited, table(spark, d, "benchmark").withColumn("answer", F.explode(F.sequence(F.col("item_id"), F.col("item_id") + 400))), ["item_id"], ["answer"]).select("answer", "item_id", "ordinal")
+    """Turns cite items of the benchmark; an answer may cite those that its turns from the second were given."""
+    n = table(spark, d, "benchmark").count()
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("answer"), F.col("turn").alias("ordinal"))
+    cited = turns.withColumn("item_id", (F.col("answer") * 7 + F.col("ordinal") % 3) % n)
+    allowed = turns.filter("ordinal > 0").withColumn("item_id", (F.col("answer") * 7 + F.col("ordinal") % 2) % n)
+    return evidence.allowed_citations(cited, allowed, ["item_id"], ["answer"]).select("answer", "item_id", "ordinal")
 
 
 _SEMI_SQL = """
-SELECT conv_id AS answer, conv_id * 7 % 50 AS item_id, min(turn) AS ordinal FROM conversations
-WHERE EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = conv_id * 7 % 50 AND conv_id BETWEEN b.item_id AND b.item_id + 400) GROUP BY 1, 2
+WITH n AS (SELECT count(*) AS n FROM benchmark),
+a AS (SELECT DISTINCT conv_id AS answer, (conv_id * 7 + turn % 2) % n AS item_id FROM conversations, n WHERE turn > 0)
+SELECT conv_id AS answer, (conv_id * 7 + turn % 3) % n AS item_id, min(turn) AS ordinal FROM conversations, n WHERE (conv_id, (conv_id * 7 + turn % 3) % n) IN (SELECT answer, item_id FROM a) GROUP BY 1, 2
 """
 
 
@@ -281,14 +300,15 @@ def citation_anti(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_status_confidence(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("u"), F.count_if(F.col("role") == "assistant").alias("a"), F.count_if(F.col("role") == "system").alias("s"))
-    return per.select("conv_id", evidence.evidence_status(F.col("a"), F.lit(0), F.lit(0), F.col("s")).alias("status"))
+    status = evidence.evidence_status(F.col("a"), F.lit(0), F.lit(0), F.col("s"))
+    return per.select("conv_id", status.alias("status"), evidence.answer_confidence(F.lit("contract"), status, F.col("u") - 1, F.lit(0)).alias("confidence"))
 
 
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            pii_mask_documents, pii_category_counts, text_quality_score, legal_text_gate, line_chunks_with_checksum, incremental_ingest_diff,
+            pii_mask_documents, pii_category_counts, labelled_numbers, text_quality_score, legal_text_gate, line_chunks_with_checksum, incremental_ingest_diff,
             content_word_counts, keyword_score, hash_embedding, vector_topk, scoped_vector_topk, hybrid_contract_search, hybrid_legal_search,
             excerpt_budget, context_bound, token_budget_trim, dedupe_and_rank, ttl_active_sessions, session_isolation, ttl_cleanup_counts,
             citation_semijoin, citation_anti, evidence_status_confidence,
@@ -302,6 +322,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "pii_mask_documents": _masked_sql("documents", "doc_id"),
         "pii_category_counts": f"SELECT role, {sums} FROM ({_masked_sql('conversations', 'role')}) GROUP BY role",
+        "labelled_numbers": _LABELLED_SQL,
         "text_quality_score": _QUALITY_SQL,
         "legal_text_gate": _GATE_SQL,
         "line_chunks_with_checksum": _line_sql("text", "documents"),
@@ -322,5 +343,5 @@ def oracle_sql() -> dict[str, str]:
         "ttl_cleanup_counts": f"SELECT (SELECT count(*) FROM {_SESSIONS_SQL} WHERE expires_at <= TIMESTAMP '{NOW}') AS deleted_sessions, (SELECT count(*) FROM events WHERE ts + INTERVAL 120 MINUTE <= TIMESTAMP '{NOW}') AS deleted_chunks",
         "citation_semijoin": _SEMI_SQL,
         "citation_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-        "evidence_status_confidence": "SELECT conv_id, CASE WHEN count(*) FILTER (WHERE role = 'assistant') = 0 THEN 'none' WHEN count(*) FILTER (WHERE role = 'system') > 0 THEN 'partial' ELSE 'sufficient' END AS status FROM conversations GROUP BY conv_id",
+        "evidence_status_confidence": "SELECT conv_id, status, CASE status WHEN 'none' THEN 'low' WHEN 'partial' THEN 'medium' ELSE CASE WHEN u > 1 THEN 'high' ELSE 'medium' END END AS confidence FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS u, CASE WHEN count(*) FILTER (WHERE role = 'assistant') = 0 THEN 'none' WHEN count(*) FILTER (WHERE role = 'system') > 0 THEN 'partial' ELSE 'sufficient' END AS status FROM conversations GROUP BY conv_id)",
     }
