@@ -1,0 +1 @@
+"""Texts, manifests and configuration that come from outside the tables."""
