@@ -1,6 +1,7 @@
 """Removal of repeated passages by suffix arrays.
 
-A string of LENGTH bytes that starts at two places is found in four steps, each a Spark job:
+A string of LENGTH bytes that starts at two places is found in four steps, each a Spark job; shorter
+repeats, of PASSAGE bytes, are found in the same way on the side and only listed:
 
 1. Every string of LENGTH bytes selects one of its 64-byte grams, the one of least hash (its anchor);
    equal strings select equal grams at equal offsets. So each start of a string belongs to one anchor,
@@ -18,6 +19,7 @@ A string of LENGTH bytes that starts at two places is found in four steps, each
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.lyndon_suffixes import suffix_arrays
 from tallystone.llm.shingles import _powers, mixed
-from tallystone.session import table, written
+from tallystone.session import forget, table, written
 
 LENGTH = 400
+#: Repeats of so many bytes are listed as passages; the query counts those of more than PASSAGE_WORDS words.
+PASSAGE, PASSAGE_WORDS = 256, 50
 GRAM = 64
 #: Windows of a gram that are sorted at once; more are split first.
 TOGETHER = 16
@@ -203,83 +207,113 @@ def _of_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & (left["text_hash"] == right["_hash"]), how).drop("_id", "_hash")
 
 
-def _cut_windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("gram", "window", "start", "lead", "starts")).alias("wanted"))
+def _cut_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "gram", "window", "start", "lead", "starts")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
                 for text, want in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     data = text.encode()
-                    out.extend((w["gram"], w["window"], w["lead"], w["starts"], data[w["start"] : w["start"] + w["starts"] - 1 + length]) for w in want)
-                columns = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "window", "lead", "starts", "content"])
+                    out.extend((w["length"], w["gram"], w["window"], w["lead"], w["starts"], data[w["start"] : w["start"] + w["starts"] - 1 + w["length"]]) for w in want)
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["length", "gram", "window", "lead", "starts", "content"])
 
-    return _of_document(docs, lists).select("text", "wanted").mapInArrow(cut, "gram long, window long, lead int, starts int, content binary")
+    return _of_document(docs, lists).select("text", "wanted").mapInArrow(cut, "length int, gram long, window long, lead int, starts int, content binary")
 
 
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_passages(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
     """doc_id, text_hash, spans: of each document with any, the byte ranges [start, stop) covered by
-    strings of ``length`` bytes that start anywhere else too; ranges may touch and overlap."""
+    strings of ``length`` bytes, for each of ``lengths``, that start anywhere else too; ranges may touch
+    and overlap."""
     docs = _named(docs)
-    anchors = written(_list_anchors(docs, length), "passage-anchors")
-    # lists of grams are written before they are joined: the join then has sides of its own, which
-    # Spark splits where a gram is very common
-    again = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passage-grams")
-    anchors = written(anchors.join(again, "gram", "left_semi"), "passage-again")
-    classes = anchors.groupBy("gram", "window").agg(F.count("*").alias("members"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.min(F.struct("doc_id", "text_hash", "start")).alias("one"))
-    classes = written(classes, "passage-classes")
-    several = written(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passage-several")
-    windows = written(_cut_windows(docs, classes.join(several, "gram", "left_semi").select("gram", "window", "lead", "starts", "one.*"), length), "passage-windows")
-    whole = classes.filter("members > 1").select("gram", "window", F.lit(0).alias("lo"), F.col("starts").alias("hi"))
-    found = written(_resolve(windows, length).unionByName(whole), "passage-found")
-    spans = anchors.join(found, ["gram", "window"]).select("doc_id", "text_hash", F.struct((F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") - 1 + length).alias("stop")).alias("span"))
-    return spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    anchors, classes, wanted = {}, {}, []
+    for n in lengths:
+        listed = written(_list_anchors(docs, n), "passage-anchors")
+        # lists of grams are written before they are joined: the join then has sides of its own, which
+        # Spark splits where a gram is very common
+        again = written(listed.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passage-grams")
+        anchors[n] = written(listed.join(again, "gram", "left_semi"), "passage-again")
+        forget(listed)
+        each = anchors[n].groupBy("gram", "window").agg(F.count("*").alias("members"), F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.min(F.struct("doc_id", "text_hash", "start")).alias("one"))
+        classes[n] = written(each, "passage-classes")
+        several = written(classes[n].groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "passage-several")
+        wanted.append(classes[n].join(several, "gram", "left_semi").select(F.lit(n).alias("length"), "gram", "window", "lead", "starts", "one.*"))
+    # texts are shuffled once for the windows of all lengths
+    windows = written(_cut_windows(docs, reduce(DataFrame.unionByName, wanted)), "passage-windows")
+    spans = []
+    for n in lengths:
+        whole = classes[n].filter("members > 1").select("gram", "window", F.lit(0).alias("lo"), F.col("starts").alias("hi"))
+        found = written(_resolve(windows.filter(F.col("length") == n).drop("length"), n).unionByName(whole), "passage-found")
+        span = F.struct(F.lit(n).alias("length"), (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") - 1 + n).alias("stop"))
+        spans.append(anchors[n].join(found, ["gram", "window"]).select("doc_id", "text_hash", span.alias("span")))
+    forget(windows)
+    return reduce(DataFrame.unionByName, spans).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+
+
+def _merged(spans: list[dict] | None, length: int) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s in spans or ():
+        if s["length"] == length:
+            if out and s["start"] <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], s["stop"])
+            else:
+                out.append([s["start"], s["stop"]])
+    return out
+
+
+def _whole_words(data: bytes, start: int, stop: int) -> int:
+    """Words of data[start:stop] that neither end cuts."""
+    cut = sum(0 < at < len(data) and len(data[at - 1 : at + 1].strip()) == 2 for at in (start, stop))
+    return len(data[start:stop].split()) - cut
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """Each row of ``docs`` (doc_id, text; further columns ignored) without its repeated passages.
 
     Texts are UTF-8 bytes, null as empty; every byte of a string of ``length`` bytes (at least 72)
-    that also starts at another place, in this or another row, goes, as judged on the input. Equal
-    rows are repeats of one another. An empty table gives none.
+    that also starts at another place, in this or another row, goes, as judged on the input. Repeats
+    of ``passage`` bytes, if given, are listed and stay. Equal rows are repeats of one another. An
+    empty table gives none.
 
-    Returns doc_id, n_bytes, spans (disjoint [start, stop) that were cut), kept (binary).
+    Returns doc_id, n_bytes, spans (disjoint [start, stop) that were cut), kept (binary), passages
+    (disjoint [start, stop) of the shorter repeats, with their number of whole ``words``).
     """
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
+    lengths = (length,) if passage is None else (length, passage)
+    if min(lengths) < GRAM + 8 or len(set(lengths)) < len(lengths):
+        raise ValueError(f"lengths must differ and be at least {GRAM + 8}")
     kind = dict(docs.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+        counted = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                sizes, cuts, kept = [], [], []
+                sizes, cuts, kept, runs = [], [], [], []
                 for text, spans in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
                     data = (text or "").encode()
-                    merged: list[list[int]] = []
-                    for s in spans or ():
-                        if merged and s["start"] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], s["stop"])
-                        else:
-                            merged.append([s["start"], s["stop"]])
-                    edges = [0, *(x for m in merged for x in m), len(data)]
+                    gone = _merged(spans, length)
+                    edges = [0, *(x for m in gone for x in m), len(data)]
                     sizes.append(len(data))
-                    cuts.append([{"start": a, "stop": b} for a, b in merged])
+                    cuts.append([{"start": a, "stop": b} for a, b in gone])
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                    shorter = _merged(spans, passage) if passage else []
+                    runs.append([{"start": a, "stop": b, "words": _whole_words(data, a, b)} for a, b in shorter])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, pa.list_(span)), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(counted))], names=["doc_id", "n_bytes", "spans", "kept", "passages"])
 
-    joined = _of_document(_named(docs), repeated_passages(docs, length), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    joined = _of_document(_named(docs), repeated_passages(docs, lengths), "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, passages array<struct<start:long,stop:long,words:long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed: Column = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passages = F.size(F.filter("passages", lambda p: p["words"] > PASSAGE_WORDS)).cast("long")
+    out = remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), passages.alias("n_passages"))

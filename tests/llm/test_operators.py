@@ -281,6 +281,8 @@ def test_repeats_are_removed(spark, monkeypatch):
     data = [(t or "").encode() for t in texts]
     for b in data:
         strings.update(b[s : s + 400] for s in range(len(b) - 399))
+    short = Counter(b[s : s + 128] for b in data for s in range(len(b) - 127))
+    shorter = lambda b: [s for s in range(len(b) - 127) if short[b[s : s + 128]] > 1]
     expected = {}
     for i, b in enumerate(data):
         gone = bytearray(len(b))
@@ -291,8 +293,13 @@ def test_repeats_are_removed(spark, monkeypatch):
     frame = spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
     for together in (suffix_dedup.TOGETHER, 2):
         monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
-        got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in suffix_dedup.remove_repeats(frame).collect()}
-        assert got == expected
+        rows = suffix_dedup.remove_repeats(frame, passage=128).collect()
+        assert {r["doc_id"]: (r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in rows} == expected
+        for r in rows:
+            b = data[r["doc_id"]]
+            covered = {k for s in shorter(b) for k in range(s, s + 128)}
+            assert {k for p in r["passages"] for k in range(p["start"], p["stop"])} == covered
+            assert all(0 <= len(b[p["start"] : p["stop"]].split()) - p["words"] <= 2 for p in r["passages"])
     assert suffix_dedup.remove_repeats(frame.limit(0)).count() == 0
     twice = suffix_dedup.remove_repeats(spark.createDataFrame([(None, long), (None, long), (1, None)], "doc_id long, text string")).collect()
     assert sorted((r["n_bytes"], len(r["kept"])) for r in twice) == [(0, 0), (len(long.encode()), 0), (len(long.encode()), 0)]
