@@ -27,8 +27,7 @@ def build_session(app: str = "tallystone", master: str | None = None, **conf: st
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    if not _is_local(spark):
-        ship_package(spark)
+    ship_package(spark)
     return spark
 
 
