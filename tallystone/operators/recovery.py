@@ -196,7 +196,7 @@ def financial_integrity(recovered: DataFrame, text: str = "text") -> DataFrame:
     sums = F.size(F.array_intersect("conflicts", F.array(*[F.lit(x) for x in ("financed_amount", "total_payable", "schedule")])))
     out = recovered.withColumns({"n_labels": labels, "coverage": count(lambda f: f["value"].isNotNull()) / F.nullif(labels, F.lit(0)), "density": number_density(F.coalesce(F.col(text), F.lit("")))})
     lost = (1 - F.col("coverage")) * GAP + count(lambda f: f["zero"]) * ZERO + count(lambda f: f["status"] == "ambiguous") * BROKEN + sums * ARITHMETIC + F.when(F.array_contains("conflicts", "term"), DURATION).otherwise(0)
-    return out.withColumn("financial_score", F.floor(F.greatest(F.lit(0.0), 100 - lost) + 0.5).cast("int"))
+    return out.withColumn("financial_score", F.when(F.col("n_labels") > 0, F.floor(F.greatest(F.lit(0.0), 100 - lost) + 0.5).cast("int")))
 
 
 def recovery_notes(recovered: DataFrame, parent: str) -> DataFrame:
