@@ -63,7 +63,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     Cuts the lineage: what follows reads files that outlive the executors that wrote them, and a
     value that depends on partition numbers is computed once. The files stay when the query is done: the
     result may be read again, and an executor that is lost later asks for them. Who owns the folder clears
-    it; ``forget`` gives up large steps early.
+    it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -74,14 +74,5 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table, once all that was made of it is written as well."""
-    files = df.inputFiles()
-    if files:
-        jvm = df.sparkSession.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
