@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import chat_formatting, decontamination, exact_dedup, language_id, mixing, near_dedup, sharding, suffix_dedup, token_counts, toxicity
+from tallystone.llm import alignment, chat_formatting, decontamination, exact_dedup, language_id, manifest, mixing, near_dedup, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.query,
         "op9_toxicity": toxicity.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        "op11_manifest": manifest.query,
+        "op12_alignment": alignment.query,
+        "op13_simhash": simhash.query,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_near_dedup": near_dedup.ORACLE_SQL,
         "op7_chat_formatting": chat_formatting.ORACLE_SQL,
         "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_manifest": manifest.ORACLE_SQL,
     }

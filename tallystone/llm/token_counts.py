@@ -8,9 +8,7 @@ gives every block its offset and the last separator before it, which joins what
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystone.llm.byte_pairs import line_encoding as _encoding
+from tallystone.llm.byte_pairs import read_vocabulary
 from tallystone.session import table, written
 
 BLOCK_TOKENS = 1 << 18
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
-#: Fixed value: the public split pattern that belongs to the 50k byte-level vocabulary.
-SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A vocabulary is broadcast; a larger file is refused.
-MAX_VOCABULARY_BYTES = 32 << 20
-
-
-@lru_cache(maxsize=2)
-def _encoding(ranks: bytes):
-    import tiktoken
-
-    pairs = (line.split() for line in ranks.splitlines() if line)
-    return tiktoken.Encoding("flat", pat_str=SPLIT_PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
 def token_type(vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT) -> str:
@@ -52,10 +40,7 @@ def flat_token_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, separator:
     end in the block, in order; the scan doesn't need them). A task's documents make one file; a
     null text is an empty document. Written out, as a file's number is its task's.
     """
-    with open(vocabulary, "rb") as f:
-        ranks = f.read(MAX_VOCABULARY_BYTES + 1)
-    if len(ranks) > MAX_VOCABULARY_BYTES:
-        raise ValueError(f"{vocabulary} is larger than {MAX_VOCABULARY_BYTES} bytes")
+    ranks = read_vocabulary(vocabulary)
     sent, kind = docs.sparkSession.sparkContext.broadcast(ranks), np.dtype(token_type(vocabulary, separator))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +132,8 @@ def read_token_files(spark: SparkSession, path: str, token_bytes: int = 2, block
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, separator: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id and n_tokens of each row of ``docs``: encoded to flat token files, which are scanned.
 
-    Null and empty texts count 0; repeated ids keep a row each; an empty table gives none.
+    Null and empty texts count 0; texts of any length are encoded whole, long runs of white space
+    included; repeated ids keep a row each; further columns are ignored; an empty table gives none.
     """
     blocks = flat_token_blocks(docs, vocabulary, separator, block_tokens)
     ids = blocks.select("file", "block", F.posexplode("doc_ids").alias("nth", "doc_id"))
