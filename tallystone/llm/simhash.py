@@ -35,6 +35,8 @@ SEED = 42
 LIST_MOST = 128
 #: Members of a block of a list that can't be cut further.
 CELL = 2048
+#: Keys that a filter holds; more of them are joined.
+FILTER_KEYS = 2000
 #: Bytes of a text that are cut into words at a time, and links held before they become a forest.
 PIECE, LINKS = 1 << 20, 1 << 20
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -195,6 +197,15 @@ def _links(rows: DataFrame, depth: int, distance: int) -> DataFrame:
     return cells.select("key", "i", "j", "list", "block", "fingerprint").mapInArrow(compare, "a long, b long")
 
 
+def _of_lists(rows: DataFrame, lists: DataFrame, on: str, how: str) -> DataFrame:
+    """``rows`` whose ``on`` is (``left_semi``) or isn't (``left_anti``) the key of one of ``lists``; a few keys are a plain filter."""
+    few = [r["key"] for r in lists.select("key").limit(FILTER_KEYS + 1).collect()]
+    if len(few) > FILTER_KEYS:
+        return semi_or_anti(rows, lists.select(F.col("key").alias(on)), [on], how)
+    hit = F.col(on).isin(few)
+    return rows.filter(hit if how == "left_semi" else ~hit)
+
+
 def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, list_most: int = LIST_MOST, cell: int = CELL) -> DataFrame:
     """a, b: links that join what the pairs of ``nodes`` (fingerprint, distinct) within ``distance`` bits join.
 
@@ -203,14 +214,17 @@ def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, list_most: int
     if distance > DISTANCE:
         raise ValueError(f"at most {DISTANCE} differing bits guarantee {MATCHES} shared bytes")
     found, long_lists = [], None
-    for depth in range(1, MATCHES + 1):
+    n = nodes.count()
+    # lists that are long on average needn't be counted
+    first = next((d for d in range(1, MATCHES) if n >> 8 * d <= list_most), MATCHES)
+    for depth in range(first, MATCHES + 1):
         filed = _postings(nodes, depth)
-        if depth > 1:
-            filed = semi_or_anti(filed, long_lists.withColumnRenamed("key", "prefix").select("prefix"), ["prefix"], "left_semi")
-            filed = written(filed.drop("prefix"), "simhash-postings")
+        if long_lists is not None:
+            filed = _of_lists(filed, long_lists, "prefix", "left_semi")
+        filed = written(filed.drop("prefix"), "simhash-postings")
         long_lists = written(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > list_most), "simhash-long")
         alone = F.lit(0)
-        short = semi_or_anti(filed, long_lists.select("key"), ["key"], "left_anti").select("key", "list", "fingerprint", alone.alias("i"), alone.alias("j"), alone.alias("block"))
+        short = _of_lists(filed, long_lists, "key", "left_anti").select("key", "list", "fingerprint", alone.alias("i"), alone.alias("j"), alone.alias("block"))
         found.append(written(_links(short, depth, distance), "simhash-links"))
         if long_lists.isEmpty():
             break

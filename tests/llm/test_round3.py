@@ -156,7 +156,7 @@ def test_alignment_in_small_windows(monkeypatch):
     def told():
         groups = [b""] * len(texts)
         n = np.zeros((2, len(texts)), int)
-        for w in alignment._Batch(a, b, size_a, size_b).windows():
+        for w in alignment._Batch(a, b, size_a, size_b, "<u4").windows():
             n[0, w.docs] += w.by_document(w.cuts)
             n[1, w.docs] += w.by_document(w.ends)
             for k, text in enumerate(w.groups(shown_a, shown_b), w.first):
@@ -245,8 +245,9 @@ def near_prints(rng):
     return out | {base ^ rng.getrandbits(12) for _ in range(300)} | {base ^ (rng.getrandbits(10) << 40) for _ in range(100)}
 
 
-@pytest.mark.parametrize("options", [{}, {"list_most": 8, "cell": 16}, {"list_most": 1, "cell": 5}])
-def test_links_of_fingerprints_against_brute_force(spark, options):
+@pytest.mark.parametrize("options", [{}, {"list_most": 8, "cell": 16}, {"list_most": 1, "cell": 5}, {"list_most": 3, "cell": 50}])
+def test_links_of_fingerprints_against_brute_force(spark, options, monkeypatch):
+    monkeypatch.setattr(simhash, "FILTER_KEYS", options.get("list_most", 2000) * 3)
     rng = random.Random(len(options) + 3)
     prints = near_prints(rng)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
