@@ -24,7 +24,7 @@ from tallystone.session import table, written
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Byte offsets that are counted at a time, and characters encoded at a time.
-WINDOW, PIECE = 1 << 20, 1 << 20
+WINDOW, PIECE = 1 << 18, 1 << 18
 #: Id pairs whose counts every task holds at once, 17 bytes each; more of them take several passes.
 MAX_PAIRS = 2_000_000
 #: Pairs that a task gathers before it gives them on.
@@ -65,6 +65,11 @@ def _tables(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return (*sizes, *shown)
 
 
+def _id_type(a: bytes, b: bytes) -> str:
+    """The narrowest type of ids, two or four bytes, that holds both vocabularies."""
+    return "<u2" if max(map(len, token_bytes(a, b))) <= 1 << 16 else "<u4"
+
+
 def _encoded(texts: list[str | None], a: bytes, b: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids of space and text by A, of text by B; none where their bytes aren't those of space and text."""
     encode, model, (of_a, of_b) = json_encoding(a).encode_ordinary, _pieces(b), token_bytes(a, b)
@@ -79,7 +84,7 @@ def _encoded(texts: list[str | None], a: bytes, b: bytes) -> tuple[list[np.ndarr
         for piece in word_pieces(" " + text):
             # each piece begins with the space that B adds itself
             raw, now_a, now_b = piece.encode("utf-8", "replace"), encode(piece), model.encode(piece[1:])
-            whole = whole and b"".join([of_a[i] for i in now_a]) == raw == b"".join([of_b[i] for i in now_b])
+            whole = whole and b"".join(map(of_a.__getitem__, now_a)) == raw == b"".join(map(of_b.__getitem__, now_b))
             ids_a.append(np.array(now_a, np.int64))
             ids_b.append(np.array(now_b, np.int64))
         left.append(np.concatenate(ids_a) if whole else none)
@@ -88,7 +93,7 @@ def _encoded(texts: list[str | None], a: bytes, b: bytes) -> tuple[list[np.ndarr
 
 
 def encoded_documents(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B) -> DataFrame:
-    """row (a number of its own), doc_id, a, b (little-endian ids of 4 bytes) of each row of ``docs`` (doc_id, text).
+    """row (a number of its own), doc_id, a, b (little-endian ids of ``_id_type``) of each row of ``docs`` (doc_id, text).
 
     Written once: encoding is the dearest step, and all others read its ids.
     """
@@ -97,12 +102,13 @@ def encoded_documents(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabul
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = _id_type(sent_a.value, sent_b.value)
             sizes = np.array([s or 0 for s in pc.binary_length(batch.column(2)).to_pylist()])
             bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1
             for lo, hi in zip([0, *bounds], [*bounds, batch.num_rows], strict=True):
                 piece = batch.slice(lo, hi - lo)
                 ids = _encoded(piece.column(2).to_pylist(), sent_a.value, sent_b.value)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array([x.astype("<u4").tobytes() for x in side], pa.binary()) for side in ids)], names=["row", "doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array([x.astype(kind).tobytes() for x in side], pa.binary()) for side in ids)], names=["row", "doc_id", "a", "b"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     return written(rows.mapInArrow(encode, "row long, doc_id long, a binary, b binary"), "align-tokens")
@@ -111,11 +117,11 @@ def encoded_documents(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabul
 class _Batch:
     """The tokens of the documents of a batch, one behind the other; documents without tokens take no bytes."""
 
-    def __init__(self, a: pa.Array, b: pa.Array, size_a: np.ndarray, size_b: np.ndarray):
-        ids = lambda column: [np.frombuffer(x.as_buffer() if x.is_valid else b"", "<u4") for x in column]
+    def __init__(self, a: pa.Array, b: pa.Array, size_a: np.ndarray, size_b: np.ndarray, kind: str):
+        ids = lambda column: [np.frombuffer(x.as_buffer() if x.is_valid else b"", kind) for x in column]
         each_a, each_b = ids(a), ids(b)
         self.n_a, self.n_b = np.array([len(x) for x in each_a], np.int64), np.array([len(x) for x in each_b], np.int64)
-        self.a, self.b = (np.concatenate([np.zeros(0, "<u4"), *each]).astype(np.int64) for each in (each_a, each_b))
+        self.a, self.b = (np.concatenate([np.zeros(0, kind), *each]).astype(np.int64) for each in (each_a, each_b))
         self.ends_a, self.ends_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         # where each document ends, in bytes
         self.stops = np.concatenate([[0], self.ends_a])[np.cumsum(self.n_a)]
@@ -184,9 +190,9 @@ def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows whose ids take some megabytes together; a longer row is one slice."""
+    """Rows whose ids take some bytes together; a longer row is one slice."""
     sizes = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("a")])
-    bounds = np.flatnonzero(np.diff(sizes // (4 * WINDOW))) + 1
+    bounds = np.flatnonzero(np.diff(sizes // WINDOW)) + 1
     for lo, hi in zip([0, *bounds], [*bounds, batch.num_rows], strict=True):
         yield batch.slice(lo, hi - lo)
 
@@ -201,19 +207,26 @@ def pair_counts(tokens: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size_a, size_b, *_ = _tables(sent_a.value, sent_b.value)
+        kind = _id_type(sent_a.value, sent_b.value)
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(codes // len(size_a), pa.int64()), pa.array(codes % len(size_a), pa.int64()), pa.array(counts, pa.int64())], names=["b", "a", "n"])
 
         for batch in batches:
             for rows in _slices(batch):
-                for w in _Batch(rows.column("a"), rows.column("b"), size_a, size_b).windows():
-                    now, n = np.unique(w.link_b * len(size_a) + w.link_a, return_counts=True)
-                    codes, counts = _summed(np.concatenate([codes, now]), np.concatenate([counts, n]))
-                    if len(codes) > HELD_PAIRS:
-                        yield out()
-                        codes, counts = codes[:0], counts[:0]
+                for w in _Batch(rows.column("a"), rows.column("b"), size_a, size_b, kind).windows():
+                    more.append(np.unique(w.link_b * len(size_a) + w.link_a, return_counts=True))
+                    held += len(more[-1][0])
+                    if held > HELD_PAIRS:
+                        codes, counts = _summed(*(np.concatenate(x) for x in zip((codes, counts), *more, strict=True)))
+                        more, held = [], 0
+                        if len(codes) > HELD_PAIRS:
+                            yield out()
+                            codes, counts = codes[:0], counts[:0]
+        codes, counts = _summed(*(np.concatenate(x) for x in zip((codes, counts), *more, strict=True)))
         yield out()
 
     pairs = written(tokens.select("a", "b").mapInArrow(count, "b long, a long, n long").groupBy("b", "a").agg(F.sum("n").alias("n")), "align-pairs")
@@ -259,13 +272,14 @@ def align_tokens(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b
 
         def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size_a, size_b, shown_a, shown_b = _tables(sent_a.value, sent_b.value)
+            kind = _id_type(sent_a.value, sent_b.value)
             b, a, n, best = sent.value
             # a last entry that no link has, for searches that run past the end
             codes = np.append(b.astype(np.int64) * len(size_a) + a, np.iinfo(np.int64).max)
             n, best = np.append(n, 0), np.append(best, False)
             for batch in batches:
                 for rows in _slices(batch):
-                    all_ = _Batch(rows.column("a"), rows.column("b"), size_a, size_b)
+                    all_ = _Batch(rows.column("a"), rows.column("b"), size_a, size_b, kind)
                     sums = np.zeros((4, rows.num_rows), np.int64)
                     groups: list[list[bytes]] = [[] for _ in range(rows.num_rows)]
                     for w in all_.windows():
