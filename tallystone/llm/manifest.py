@@ -161,7 +161,8 @@ def manifest(docs: DataFrame, columns: Sequence[str] = COLUMNS, group: str = "la
     told = [F.col(c) for c in columns]
     other = F.unhex(row_digest([altered.get(c, F.col(c)) for c in columns])) if altered is not None else F.lit(None).cast("binary")
     leaves = docs.select(F.col(group).cast("string").alias("grp"), F.col(order).alias("id"), F.unhex(row_digest(told)).alias("digest"), other.alias("altered_leaf"))
-    leaves = written(_ranked(leaves, ["id", "digest"], "manifest-leaves"), "manifest-ranked")
+    # written first, as a range sort reads its input twice: texts are hashed once
+    leaves = written(_ranked(written(leaves, "manifest-hashed"), ["id", "digest"], "manifest-leaves"), "manifest-ranked")
     passes, subroots = _trees(leaves, arity, height, "manifest-blocks")
     tops = written(_ranked(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("id"), "digest"), ["id"], "manifest-groups"), "manifest-subroots")
     steps, root = _trees(tops, arity, height, "manifest-tops")
