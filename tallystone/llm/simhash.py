@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm.components import connected_components
@@ -95,22 +95,23 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = SEED) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, fingerprint long")
 
 
-def _key(places: tuple[int, ...], number: int) -> Column:
-    """The list of these positions: its number above the bytes that it holds."""
-    octet = lambda p: F.shiftrightunsigned("fingerprint", 8 * (POSITIONS - 1 - p)).bitwiseAND(255)
-    key = F.lit(number).cast("long")
-    for p in places:
-        key = F.shiftleft(key, 8).bitwiseOR(octet(p))
-    return key
+#: By number of a list and position: the number of the list that the position extends it to (-1: none).
+_EXTENDED = [[[LISTS[d].index((*places, p)) if (*places, p) in LISTS[d] else -1 for p in range(POSITIONS)] for places in (LISTS[d - 1] if d else [()])] for d in range(MATCHES)]
 
 
-def _postings(nodes: DataFrame, depth: int) -> DataFrame:
-    """fingerprint, list (its number), key and prefix (the key of the list that this one is cut from) of every list of ``depth``."""
-    lists, before = LISTS[depth - 1], LISTS[depth - 2] if depth > 1 else ()
-    filed = [
-        F.struct(F.lit(n).alias("list"), _key(places, n).alias("key"), (_key(places[:-1], before.index(places[:-1])) if before else F.lit(0).cast("long")).alias("prefix")) for n, places in enumerate(lists)
-    ]
-    return nodes.select("fingerprint", F.explode(F.array(*filed)).alias("at")).select("fingerprint", "at.*")
+def _extended(filed: DataFrame, depth: int) -> DataFrame:
+    """fingerprint, list, key: every member of the lists ``filed`` of ``depth`` - 1 under each list that has one position more.
+
+    A key is the list's number above the bytes that it holds.
+    """
+    numbers = F.array(*[F.lit(n) for row in _EXTENDED[depth - 1] for n in row])
+    held = 8 * (depth - 1)
+    octets = F.col("key").bitwiseAND((1 << held) - 1)
+    further = filed.select("fingerprint", octets.alias("octets"), F.slice(numbers, F.col("list") * POSITIONS + 1, POSITIONS).alias("numbers"))
+    each = further.select("fingerprint", "octets", F.posexplode("numbers").alias("place", "list")).filter("list >= 0")
+    octet = F.expr(f"shiftrightunsigned(fingerprint, 8 * ({POSITIONS - 1} - place))").bitwiseAND(255)
+    key = F.shiftleft(F.col("list").cast("long"), held + 8).bitwiseOR(F.shiftleft("octets", 8)).bitwiseOR(octet)
+    return each.select("fingerprint", "list", key.alias("key"))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +198,12 @@ def _links(rows: DataFrame, depth: int, distance: int) -> DataFrame:
     return cells.select("key", "i", "j", "list", "block", "fingerprint").mapInArrow(compare, "a long, b long")
 
 
-def _of_lists(rows: DataFrame, lists: DataFrame, on: str, how: str) -> DataFrame:
-    """``rows`` whose ``on`` is (``left_semi``) or isn't (``left_anti``) the key of one of ``lists``; a few keys are a plain filter."""
+def _of_lists(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """``rows`` whose key is (``left_semi``) or isn't (``left_anti``) that of one of ``lists``; a few keys are a plain filter."""
     few = [r["key"] for r in lists.select("key").limit(FILTER_KEYS + 1).collect()]
     if len(few) > FILTER_KEYS:
-        return semi_or_anti(rows, lists.select(F.col("key").alias(on)), [on], how)
-    hit = F.col(on).isin(few)
+        return semi_or_anti(rows, lists.select("key"), ["key"], how)
+    hit = F.col("key").isin(few)
     return rows.filter(hit if how == "left_semi" else ~hit)
 
 
@@ -213,21 +214,21 @@ def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, list_most: int
     """
     if distance > DISTANCE:
         raise ValueError(f"at most {DISTANCE} differing bits guarantee {MATCHES} shared bytes")
-    found, long_lists = [], None
+    found, filed = [], nodes.select("fingerprint", F.lit(0).alias("list"), F.lit(0).cast("long").alias("key"))
     n = nodes.count()
-    # lists that are long on average needn't be counted
-    first = next((d for d in range(1, MATCHES) if n >> 8 * d <= list_most), MATCHES)
-    for depth in range(first, MATCHES + 1):
-        filed = _postings(nodes, depth)
-        if long_lists is not None:
-            filed = _of_lists(filed, long_lists, "prefix", "left_semi")
-        filed = written(filed.drop("prefix"), "simhash-postings")
+    for depth in range(1, MATCHES + 1):
+        filed = _extended(filed, depth)
+        if n >> 8 * depth > list_most and depth < MATCHES:
+            continue  # lists that are long on average needn't be counted
+        filed = written(filed, "simhash-postings")
         long_lists = written(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > list_most), "simhash-long")
         alone = F.lit(0)
-        short = _of_lists(filed, long_lists, "key", "left_anti").select("key", "list", "fingerprint", alone.alias("i"), alone.alias("j"), alone.alias("block"))
+        short = _of_lists(filed, long_lists, "left_anti").select("key", "list", "fingerprint", alone.alias("i"), alone.alias("j"), alone.alias("block"))
         found.append(written(_links(short, depth, distance), "simhash-links"))
         if long_lists.isEmpty():
             break
+        if depth < MATCHES:
+            filed = _of_lists(filed, long_lists, "left_semi")
     else:
         sized = long_lists.select(F.col("key").alias("_key"), F.ceil(F.col("n") / cell).cast("int").alias("blocks"))
         dealt = filed.join(sized, filed["key"] == F.col("_key")).withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
