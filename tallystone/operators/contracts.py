@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tallystone.functions import money as M
 from tallystone.functions import wordlists as L
 from tallystone.operators import finance as fin
+from tallystone.session import written
 
 CONTRACT = (
     "contract_id string, contract_type string, details struct<financed_amount double, down_payment double, interest_rate double, loan_term_months double, monthly_installment double, "
@@ -250,14 +251,14 @@ def reclassify_employment(candidates: DataFrame) -> DataFrame:
     return rows.unionByName(canonical)
 
 
-def resolved_candidates(contracts: DataFrame) -> DataFrame:
-    """The final candidates: extracted, classified, with currency, without restatements and rivals;
+def ranked_candidates(contracts: DataFrame) -> DataFrame:
+    """The candidates without restatements: extracted, classified, with currency, rivals ranked by ``place``;
     ``contract_currency`` where the contract states exactly one; ``financial_role`` for reports."""
     rows = reclassify_employment(reclassify_rent(assign_roles(extract_candidates(contracts))))
     w = Window.partitionBy("contract_id")
     rows = rows.withColumn("contract_currency", F.when(F.min("currency").over(w) == F.max("currency").over(w), F.max("currency").over(w)))
     rows = rows.withColumn("currency", F.coalesce("currency", F.when(F.col("amount").isNotNull(), F.col("contract_currency"))))
-    rows = fin.resolve_conflicts(fin.deduplicate(rows))
+    rows = fin.ranked_rivals(fin.deduplicate(rows))
     scheduled = F.when(F.col("frequency").isin(*M.RECURRING), "recurring_outflow").when(F.col("timing") == "due_now", "upfront_liquidity").otherwise("one_time_outflow")
     role = (
         F.when(F.col("role").isin("scheduled_payment", "mandatory_fee"), scheduled)
@@ -267,6 +268,11 @@ def resolved_candidates(contracts: DataFrame) -> DataFrame:
     return rows.withColumn("financial_role", role)
 
 
+def resolved_candidates(contracts: DataFrame) -> DataFrame:
+    """The final candidates: of ``ranked_candidates``, those that win their slot."""
+    return ranked_candidates(contracts).filter("place = 1")
+
+
 def payment_obligations(candidates: DataFrame) -> DataFrame:
     """Obligations that are due on some path of the contract itself, numbered by source field."""
     rows = candidates.filter((F.col("target_kind") == "obligation") & fin.eligible_role(F.col("role"), F.col("context")))
@@ -290,42 +296,62 @@ def durations(contracts: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("contract_id", F.coalesce("stated", rest).alias("months"), F.when(F.col("stated").isNull(), F.col("years")).alias("years"), days.alias("days"), source.alias("duration_source"))
 
 
-def financial_metrics(contracts: DataFrame) -> DataFrame:
-    """The metrics of each contract, one row each, money as struct(value, currency, status).
-
-    Unknown is never 0: a figure without amounts, or over several currencies, is unavailable.
-    """
-    c = resolved_candidates(contracts)
-    a, cur, one = F.col("amount"), F.col("currency"), F.col("frequency") == "one_time"
-    kind = F.col("target_kind")
+def _flags() -> dict[str, Column]:
+    """What the sums of a contract are taken over, as conditions on a final candidate."""
+    kind, one = F.col("target_kind"), F.col("frequency") == "one_time"
     due = (kind == "obligation") & fin.eligible_role(F.col("role"), F.col("context"))
-    sure = fin.guaranteed(F.col("mandatory"), F.col("conditional"))
-    deposit = F.when(kind == "fee", M.says(L.SAYS_DEPOSIT, F.col("label"))).otherwise(F.col("category") == "deposit")
-    stays = F.when(kind == "fee", fin.refundability(deposit, F.col("refundable")) == "include").otherwise(~deposit | (F.col("refundable") == False))  # noqa: E712
-    balloon = F.col("category") == "balloon_payment"
-    once, fee = due & sure & one & stays, kind == "fee"
-    upfront_due = due & F.col("mandatory") & one & ~balloon
+    sure, fee = fin.guaranteed(F.col("mandatory"), F.col("conditional")), kind == "fee"
+    # of obligations only deposits can be refunded; a fee is a deposit if its label says so
+    deposit = F.when(fee, M.says(L.SAYS_DEPOSIT, F.col("label"))).otherwise(F.col("category") == "deposit")
+    refund = F.when(fee | deposit, fin.refundability(deposit, F.col("refundable"))).otherwise("include")
+    stays, balloon = refund == "include", F.col("category") == "balloon_payment"
+    recurring = due & F.col("mandatory") & M.monthly_factor(F.col("frequency")).isNotNull()
+    return {
+        "due": due, "fee": fee, "penalty": kind == "penalty", "one": one, "balloon": balloon, "recurring": recurring, "once": due & sure & one & stays, "sure_fee": fee & sure & stays,
+        "open_deposit": (refund == "exclude_unresolved") & ((fee & sure) | (due & sure & one)), "upfront": due & F.col("mandatory") & one & ~balloon,
+        "exposed_fee": fee & fin.normal_path(F.col("mandatory"), F.col("conditional")) & stays, "other_due": due & sure & ~fin._is(one),
+    }
+
+
+def _totals_by_currency(candidates: DataFrame, scheduled: DataFrame) -> DataFrame:
+    """contract_id, totals_by_currency (of struct<currency, total>): guaranteed one-time dues, fees of the normal
+    path, the scheduled total, and recurring dues in a currency that no schedule covers."""
+    f = _flags()
+    rows = candidates.join(scheduled, "contract_id")
+    bare = f["other_due"] & ~fin._is(F.col("currency") == F.col("scheduled.currency"))
+    counted = rows.filter(f["once"] | f["exposed_fee"] | bare).select("contract_id", "currency", "amount")
+    known = scheduled.filter("scheduled.value is not null").select("contract_id", "scheduled.currency", F.col("scheduled.value").alias("amount"))
+    totals = fin.totals_by_currency(counted.union(known))
+    return totals.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("currency", "total"))).alias("totals_by_currency"))
+
+
+def metrics_of(contracts: DataFrame, c: DataFrame) -> DataFrame:
+    """``financial_metrics`` of ``contracts`` with the final candidates ``c``."""
+    a, cur, kind = F.col("amount"), F.col("currency"), F.col("target_kind")
+    f = _flags()
+    due, fee, penalty, one, once, sure_fee, balloon = (f[x] for x in ("due", "fee", "penalty", "one", "once", "sure_fee", "balloon"))
     factor = M.monthly_factor(F.col("frequency"))
-    recurring = due & F.col("mandatory") & factor.isNotNull()
     special = lambda k: F.max_by(F.struct(a.alias("a"), cur.alias("c"), F.col("frequency").alias("f")), F.when((kind == "special") & (F.col("special_key") == k), F.col("position")))
     mixed = lambda where: F.coalesce(F.min(F.when(where & a.isNotNull(), cur)) < F.max(F.when(where & a.isNotNull(), cur)), F.lit(False))
-    penalty = kind == "penalty"
+    unknown = a.isNull() | cur.isNull()
     per = c.groupBy("contract_id").agg(
         F.max("contract_currency").alias("currency"),
-        fin.known_sum(a * factor, cur, recurring).alias("monthly_equivalent"),
-        fin.known_sum(a * factor * 12, cur, recurring).alias("annual_equivalent"),
+        fin.known_sum(a * factor, cur, f["recurring"]).alias("monthly_equivalent"),
+        fin.known_sum(a * factor * 12, cur, f["recurring"]).alias("annual_equivalent"),
+        mixed(f["recurring"]).alias("mixed_recurring"),
         fin.known_sum(a, cur, once & ~balloon).alias("upfront_obligations"),
         fin.known_sum(a, cur, once & balloon).alias("balloon"),
         fin.known_sum(a, cur, fee).alias("fees_total"),
-        fin.known_sum(a, cur, fee & sure & stays).alias("mandatory_fees"),
+        fin.known_sum(a, cur, sure_fee).alias("mandatory_fees"),
         fin.known_sum(a, cur, fee & one).alias("upfront_fees"),
         fin.known_sum(a, cur, fee & F.col("conditional")).alias("conditional_fees"),
         fin.known_sum(a, cur, penalty).alias("penalties_total"),
         fin.known_max(a, cur, penalty).alias("highest_penalty"),
-        fin.known_sum(a, cur, upfront_due).alias("_upfront"),
-        mixed(upfront_due).alias("_mixed_upfront"),
-        fin.known_max(a, cur, once | (fee & sure & stays)).alias("largest_payment"),
-        F.min_by(F.struct(a.alias("a"), cur.alias("c")), F.when(due & balloon, F.col("position"))).alias("_balloon"),
+        F.bool_or(F.when(penalty | (fee & fin._is(F.col("conditional"))), unknown)).alias("unquantified_contingent"),
+        fin.known_sum(a, cur, f["upfront"]).alias("_upfront"),
+        mixed(f["upfront"]).alias("_mixed_upfront"),
+        fin.known_max(a, cur, once | sure_fee).alias("largest_payment"),
+        F.min_by(F.struct(a.alias("a"), cur.alias("c")), F.when(due & balloon, F.struct(F.collate("source_field", "UNICODE"), "position"))).alias("_balloon"),
         special("principal").alias("_principal"), special("statedTotalCost").alias("_stated"), special("insuranceDeductible").alias("_deductible"), special("monthlyIncome").alias("_income"), special("statedDueAtSigning").alias("_signing"),
         F.count_if("conflict").alias("conflicts"),
         F.coalesce(F.min("currency") < F.max("currency"), F.lit(False)).alias("mixed_currency"),
@@ -335,15 +361,95 @@ def financial_metrics(contracts: DataFrame) -> DataFrame:
     monthly_income = fin.money(F.col("_income.a") * M.monthly_factor(F.col("_income.f")), F.col("_income.c"))
     out = contracts.select("contract_id", "contract_type").join(per, "contract_id", "left").join(durations(contracts, c), "contract_id")
     out = out.withColumns({x: F.coalesce(F.col(x), none) for x in ("monthly_equivalent", "annual_equivalent", "upfront_obligations", "balloon", "fees_total", "mandatory_fees", "upfront_fees", "conditional_fees", "penalties_total", "highest_penalty", "_upfront", "largest_payment")})
+    out = out.withColumns({x: F.coalesce(F.col(x), F.lit(False)) for x in ("mixed_recurring", "mixed_currency", "_mixed_upfront")}).withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
     out = out.withColumns({"principal": money("_principal"), "stated_total": money("_stated"), "deductible": money("_deductible"), "due_at_signing": money("_signing"), "monthly_income": monthly_income})
     out = fin.total_cost(out)
+    core, stated = F.col("core"), F.col("stated_total")
+    sure_term = F.col("duration_source").isin("stated", "dates")
+    status = F.when((core["status"] == "known") & ~fin._is(sure_term), "estimated").otherwise(core["status"])
+    apart = fin._is(stated["currency"] == core["currency"])
     out = out.withColumns({
-        "upfront_exposure": F.when(F.coalesce("_mixed_upfront", F.lit(False)), none).otherwise(fin.sum_of(F.col("_upfront"), F.col("upfront_fees"))),
+        "upfront_exposure": F.when(F.col("_mixed_upfront"), none).otherwise(fin.sum_of(F.col("_upfront"), F.col("upfront_fees"))),
         "contingent_exposure": fin.sum_of(F.col("conditional_fees"), F.col("penalties_total"), F.col("deductible")),
-    })
+        "estimated_cost": F.struct(core["value"].alias("value"), core["currency"].alias("currency"), status.alias("status")),
+        "difference_amount": F.when(apart, fin.money(F.abs(stated["value"] - core["value"]), core["currency"])).otherwise(none),
+    })
     p = F.col("principal")
     out = out.withColumns({
         "fees_to_base": fin.ratio(F.col("mandatory_fees"), p), "penalties_to_base": fin.ratio(F.col("penalties_total"), p), "upfront_to_base": fin.ratio(F.col("upfront_exposure"), p),
         "balloon_to_base": fin.ratio(money("_balloon"), p), "cost_increase": fin.ratio(F.col("financing_cost"), p), "recurring_to_income": fin.ratio(F.col("monthly_equivalent"), F.col("monthly_income")),
     })
-    return out.drop("_upfront", "_mixed_upfront", "_balloon", "_principal", "_stated", "_deductible", "_income", "_signing")
+    return out.withColumn("balloon_payment", money("_balloon")).drop("_upfront", "_mixed_upfront", "_balloon", "_principal", "_stated", "_deductible", "_income", "_signing")
+
+
+def financial_metrics(contracts: DataFrame) -> DataFrame:
+    """The metrics of each contract, one row each, money as struct(value, currency, status).
+
+    Unknown is never 0: a figure without amounts, or over several currencies, is unavailable. The final
+    candidates are written once, as several of the sums read them.
+    """
+    candidates = written(resolved_candidates(contracts), "agreement-candidates")
+    metrics = written(metrics_of(contracts, candidates), "agreement-metrics")
+    return metrics.join(_totals_by_currency(candidates, metrics.select("contract_id", "scheduled")), "contract_id", "left")
+
+
+# The ratios' names, formulas and what they are taken of.
+RATIOS = (
+    ("fees_to_base", "ratios.feesToBaseCost", "mandatoryFees ÷ principal × 100"),
+    ("penalties_to_base", "ratios.penaltiesToBaseCost", "totalKnownPenalties ÷ principal × 100"),
+    ("upfront_to_base", "ratios.upfrontPaymentToBaseCost", "upfrontExposure ÷ principal × 100"),
+    ("balloon_to_base", "ratios.balloonPaymentToBaseCost", "balloonPayment ÷ principal × 100"),
+    ("cost_increase", "ratios.totalCostIncrease", "financingCost ÷ principal × 100"),
+    ("recurring_to_income", "ratios.recurringPaymentToIncome", "monthlyCommitment ÷ monthlyIncome × 100"),
+)
+_FORMULAS = (
+    ("monthly_equivalent", "recurringCommitment.monthlyEquivalent", "sum(amount × monthlyEquivalentFactor(frequency)) for each mandatory recurring obligation"),
+    ("annual_equivalent", "recurringCommitment.annualEquivalent", "monthlyEquivalent × 12"),
+    ("scheduled", "totalScheduledRecurring", "monthlyEquivalent × contractDuration.months"),
+)
+
+
+def _metric_notes(metrics: DataFrame) -> DataFrame:
+    """Formulas that were used, calculations that weren't possible, and warnings of mixed currencies."""
+    note = lambda kind, name, value, detail: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(None).cast("string").alias("source_field"), F.lit(detail).alias("detail"))
+    none = F.lit(None)
+    notes = []
+    for column, name, formula in _FORMULAS:
+        known = F.col(f"{column}.status") == "known"
+        notes += [F.when(known, note("formula", name, F.col(f"{column}.value"), formula)), F.when(~known, note("unavailable", name, none, None))]
+    for column, name, formula in RATIOS:
+        notes += [F.when(F.col(column).isNotNull(), note("formula", name, F.col(column), formula)).otherwise(note("unavailable", name, none, None))]
+    for column, name in (("core", "totalCost.calculatedCoreObligations"), ("principal", "totalCost.calculatedBaseCost")):
+        notes.append(F.when(F.col(f"{column}.status") != "known", note("unavailable", name, none, None)))
+    notes.append(F.when(F.col("mixed_recurring"), note("warning", "recurring_commitment_mixed_currency", none, "MIXED_CURRENCY")))
+    notes.append(F.when(F.col("mixed_currency"), note("warning", "contract_currency_ambiguous", none, "MIXED_CURRENCY")))
+    return metrics.select("contract_id", F.explode(F.array_compact(F.array(*notes))).alias("n")).select("contract_id", "n.*")
+
+
+def _candidate_notes(ranked: DataFrame) -> DataFrame:
+    """Values that lost to another source, and values that no sum may take, each under every reason once."""
+    f = _flags()
+    kind, lost = F.col("target_kind"), F.col("place") > 1
+    metric = F.when(kind == "special", F.col("special_key")).otherwise(F.concat_ws(":", kind, F.coalesce("category", F.lit("unknown")), M.label_key(F.col("label"))))
+    shown = f["due"] | f["fee"] | f["penalty"] | (kind == "special") | (F.col("role") == "asset_value")
+    note = lambda kind, name, detail: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.col("amount").alias("value"), F.col("source_field"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    notes = [
+        F.when(lost & F.col("conflict"), note("conflict", metric, F.col("winner_field"))),
+        F.when(~lost & (kind == "obligation") & ~f["due"], note("excluded", F.concat_ws(":", F.lit("not_a_payment_obligation"), "role", "context"), none)),
+        F.when(~lost & shown & F.col("amount").isNotNull() & F.col("currency").isNull(), note("excluded", F.lit("currency_unresolved"), none)),
+        F.when(~lost & f["open_deposit"], note("excluded", F.lit("deposit_refundability_unresolved"), none)),
+    ]
+    return ranked.select("contract_id", F.explode(F.array_compact(F.array(*notes))).alias("n")).select("contract_id", "n.*")
+
+
+def calculation_audit(contracts: DataFrame) -> DataFrame:
+    """What stands behind the metrics of each contract, a row each: contract_id, kind, name, value, source_field, detail.
+
+    Kinds: ``formula`` (name of the metric, its value, the formula), ``unavailable`` (name), ``warning``,
+    ``conflict`` (a value that another source overruled; detail names that source) and ``excluded`` (a
+    value that enters no sum, under its reason). Nothing is gathered: each candidate makes its own rows.
+    """
+    ranked = written(ranked_candidates(contracts), "agreement-ranked")
+    metrics = metrics_of(contracts, ranked.filter("place = 1"))
+    return _metric_notes(metrics).unionByName(_candidate_notes(ranked))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystone.functions.money import RECURRING, difference_class, label_key, monthly_factor
-from tallystone.functions.text import label_similarity
+from tallystone.functions.text import label_similarity, normalize_label
 
 # Which source wins.
 SOURCE_RANK = {"type_details": 5, "financial_obligation": 4, "fee_item": 3, "penalty_item": 3, "extracted_number": 2}
@@ -178,9 +178,10 @@ def conflict_slot() -> Column:
     return F.when(F.col("target_kind") == "special", special).otherwise(plain)
 
 
-def resolve_conflicts(candidates: DataFrame) -> DataFrame:
-    """The winner of each slot, with ``rivals`` (other candidates), ``conflict`` (whether amounts differ)
-    and ``position``, where the slot first came up."""
+def ranked_rivals(candidates: DataFrame) -> DataFrame:
+    """Candidates with their ``place`` among those of their slot (1 wins), ``rivals`` (how many others there
+    are), ``conflict`` (whether amounts differ), ``position`` (where the slot first came up) and
+    ``winner_field``, the source of the winner."""
     slot = Window.partitionBy(BY, "_slot")
     rows = candidates.withColumn("_slot", conflict_slot())
     # a null amount is a value of its own here
@@ -188,39 +189,52 @@ def resolve_conflicts(candidates: DataFrame) -> DataFrame:
     filled = F.count("amount").over(slot)
     n = F.count("*").over(slot)
     differ = _is(lo != hi) | ((filled > 0) & (filled < n))
-    rows = rows.withColumn("position", F.min("ordinal").over(slot)).withColumn("rivals", n - 1).withColumn("conflict", differ).withColumn("_n", F.row_number().over(slot.orderBy(*priority())))
-    return rows.filter("_n = 1").drop("_n", "_slot")
+    ranked = slot.orderBy(*priority())
+    return rows.withColumns({"position": F.min("ordinal").over(slot), "rivals": n - 1, "conflict": differ, "place": F.row_number().over(ranked), "winner_field": F.first("source_field").over(ranked)}).drop("_slot")
+
+
+def resolve_conflicts(candidates: DataFrame) -> DataFrame:
+    """The winner of each slot, with ``rivals``, ``conflict`` and ``position`` as ``ranked_rivals`` has them."""
+    return ranked_rivals(candidates).filter("place = 1").drop("place", "winner_field")
 
 
 def deduplicate(candidates: DataFrame) -> DataFrame:
     """One candidate of each cluster of restatements, with ``merged`` (how many it stands for).
 
-    Candidates that agree in kind, category, frequency, currency and amount are compared, in order, with
-    the first member of each cluster so far: stated flags and dates must not contradict, and two of
-    unnamed category need a word of their labels in common. Compatibility with unstated values isn't
-    transitive, so this is a fold over the (few) candidates of one contract, in one expression.
+    Candidates that agree in kind, category, frequency, currency and amount are compared, in the order
+    of ``ordinal`` (a row's own within its contract), with the first member of each cluster so far:
+    stated flags and dates must not contradict, and two of unnamed category need a word of their labels
+    in common. Compatibility with unstated values isn't transitive, so this is a fold. It runs over
+    variants: equal flags, date and label always end in one cluster, so they are counted and ranked by
+    a partial aggregation first, and a fold is as long as a contract has different statements of an
+    amount. An unnamed category without any word merges with nothing and stays out of the fold.
     """
+    rank = lambda c, table: -F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c)), F.lit(0))
+    score = F.struct(rank("source_kind", SOURCE_RANK).alias("s"), rank("confidence", CONFIDENCE_RANK).alias("c"), (-F.coalesce(F.length("evidence"), F.lit(0))).alias("e"), F.collate("source_field", "UNICODE").alias("f"), F.col("ordinal"))
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("target_kind", "special_key", "category", "frequency", "currency")], F.coalesce(F.format_string("%.2f", F.col("amount")), F.lit("null")))
-    ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(BY).orderBy(*priority()))).withColumn("_key", key)
-    member = F.struct("ordinal", "_rank", "mandatory", "conditional", "start_date", "category", "label")
-    groups = ranked.groupBy(BY, "_key").agg(F.array_sort(F.collect_list(member)).alias("_m"))
+    vague = F.col("category").isNull() | F.col("category").isin("unknown", "other")
+    stated = ("mandatory", "conditional", "start_date", "label")
+    rows = candidates.select(BY, "ordinal", key.alias("_key"), *stated, vague.alias("vague"), score.alias("best"))
+    single = F.col("vague") & (normalize_label(F.col("label")) == "")
+    variants = rows.filter(~single).groupBy(BY, "_key", "vague", *stated).agg(F.min("ordinal").alias("first"), F.min("best").alias("best"), F.count("*").alias("n"))
+    member = F.struct("first", "best", "n", *stated)
+    groups = variants.groupBy(BY, "_key", "vague").agg(F.array_sort(F.collect_list(member)).alias("_m"))
     agree = lambda a, b: a.isNull() | b.isNull() | (a == b)
-    vague = lambda c: c.isNull() | c.isin("unknown", "other")
 
     def merges(head: Column, m: Column) -> Column:
-        unlike = vague(head["category"]) & vague(m["category"]) & (label_similarity(head["label"], m["label"]) <= 0)
+        unlike = F.col("vague") & (label_similarity(head["label"], m["label"]) <= 0)
         return agree(head["mandatory"], m["mandatory"]) & agree(head["conditional"], m["conditional"]) & agree(head["start_date"], m["start_date"]) & ~unlike
 
     def step(clusters: Column, m: Column) -> Column:
         at = F.array_position(F.transform(clusters, lambda c: merges(c["head"], m)), True)
-        grown = F.transform(clusters, lambda c, i: F.struct(c["head"].alias("head"), F.when(i + 1 == at, F.least(c["best"], m["_rank"])).otherwise(c["best"]).alias("best"), F.when(i + 1 == at, c["n"] + 1).otherwise(c["n"]).alias("n")))
-        fresh = F.array(F.struct(m.alias("head"), m["_rank"].alias("best"), F.lit(1).alias("n")))
+        grown = F.transform(clusters, lambda c, i: F.struct(c["head"].alias("head"), F.when(i + 1 == at, F.least(c["best"], m["best"])).otherwise(c["best"]).alias("best"), F.when(i + 1 == at, c["n"] + m["n"]).otherwise(c["n"]).alias("n")))
+        fresh = F.array(F.struct(m.alias("head"), m["best"].alias("best"), m["n"].alias("n")))
         return F.when(at > 0, grown).otherwise(F.concat(clusters, fresh))
 
-    head = dict(ranked.select(member.alias("m")).dtypes)["m"]
-    clusters = F.aggregate("_m", F.array().cast(f"array<struct<head:{head},best:int,n:int>>"), step)
-    best = groups.select(BY, F.explode(clusters).alias("c")).select(BY, F.col("c.best").alias("_rank"), F.col("c.n").alias("merged"))
-    return ranked.join(best, [BY, "_rank"]).drop("_rank", "_key")
+    first = F.transform(F.slice("_m", 1, 1), lambda m: F.struct(m.alias("head"), m["best"].alias("best"), m["n"].alias("n")))
+    clusters = F.when(F.size("_m") == 1, first).otherwise(F.aggregate(F.slice("_m", F.lit(2), F.size("_m")), first, step))
+    best = groups.select(BY, F.explode(clusters).alias("c")).select(BY, F.col("c.best.ordinal").alias("ordinal"), F.col("c.n").alias("merged"))
+    return candidates.join(best.union(rows.filter(single).select(BY, "ordinal", F.lit(1).cast("long"))), [BY, "ordinal"])
 
 
 def budget_impact(rows: DataFrame) -> DataFrame:

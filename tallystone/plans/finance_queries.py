@@ -34,8 +34,8 @@ FROM lineitem
 _SQL_VIEW = f"({_VIEW.format(concat=chr(39) + 'item-' + chr(39) + ' || l_linenumber')})"
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(_VIEW.format(concat="concat('item-', l_linenumber)").replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, d, "lineitem"))
+def _items(spark: SparkSession, d: str, more: str = "") -> DataFrame:
+    return spark.sql(_VIEW.format(concat="concat('item-', l_linenumber)").replace("\nFROM lineitem", more + "\nFROM {lineitem}"), lineitem=table(spark, d, "lineitem"))
 
 
 def _flat(df: DataFrame, *names: str) -> list:
@@ -169,8 +169,8 @@ def currency_distribution(spark: SparkSession, d: str) -> DataFrame:
     return finance.currency_distribution(_items(spark, d))
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).withColumns({"target_kind": F.lit("obligation"), "special_key": F.lit(None).cast("string"), "evidence": F.col("label"), "source_field": F.col("id"), "start_date": F.lit(None).cast("date"), "amount": F.round("amount", -4)})
+def _candidates(spark: SparkSession, d: str, more: str = "") -> DataFrame:
+    return _items(spark, d, more).withColumns({"target_kind": F.lit("obligation"), "special_key": F.lit(None).cast("string"), "evidence": F.col("label"), "source_field": F.col("id"), "start_date": F.lit(None).cast("date"), "amount": F.round("amount", -4)})
 
 
 def conflict_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +187,35 @@ WINDOW s AS (PARTITION BY {_SLOTS}) QUALIFY row_number() OVER (PARTITION BY {_SL
 
 
 def structural_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return finance.deduplicate(_candidates(spark, d)).select("contract_id", "ordinal", "merged")
+    # a row's own place in its contract: several lines may share a number
+    own = (F.col("ordinal") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")
+    keyed = _candidates(spark, d, ", l_partkey, l_suppkey, l_quantity, l_shipdate")
+    stated = {"ordinal": own, "category": F.when(F.col("l_quantity") > 25, "unknown").otherwise(F.col("category")), "amount": F.round("amount", -5), "label": F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("l_partkey") % len(_LABELS) + 1).cast("int")), "start_date": F.when(F.col("l_suppkey") % 4 == 0, F.to_date("l_shipdate"))}
+    return finance.deduplicate(keyed.withColumns(stated)).select("contract_id", "ordinal", "merged")
+
+
+_LABELS = ("Monthly  Rent", "rent of the flat", "القسط", "قسط شهري", "", "Car loan", "loan")
+
+
+def _fold_sql() -> str:
+    labels = ", ".join(f"'{x}'" for x in _LABELS)
+    label = rf"regexp_replace(trim(regexp_replace(lower(([{labels}])[l_partkey % {len(_LABELS)} + 1]), '\s+', ' ', 'g')), '(^|\s)ال(\S)', '\1\2', 'g')"
+    same = lambda c: f"(h.{c} IS NULL OR d.{c} IS NULL OR h.{c} = d.{c})"
+    me = "struct_pack(mandatory := {0}mandatory, conditional := {0}conditional, day := {0}day, words := {0}words)"
+    view = _SQL_VIEW.replace("\nFROM lineitem", ", l_partkey, l_suppkey, l_quantity, l_shipdate\nFROM lineitem")
+    return f"""
+WITH RECURSIVE i AS (SELECT * REPLACE ((ordinal * 10000000 + l_partkey) * 100000 + l_suppkey AS ordinal, CASE WHEN l_quantity > 25 THEN 'unknown' ELSE category END AS category), round(round(amount / 10000, 0) / 10, 0) * 100000 AS a,
+  CASE WHEN l_suppkey % 4 = 0 THEN CAST(l_shipdate AS DATE) END AS day, list_filter(string_split({label}, ' '), lambda w: w <> '') AS words FROM {view}),
+m AS (SELECT *, dense_rank() OVER (ORDER BY contract_id, category, frequency, currency, a) AS g, row_number() OVER (PARTITION BY contract_id, category, frequency, currency, a ORDER BY ordinal) AS n FROM i),
+f(g, n, heads, c) AS (
+  SELECT g, n, [{me.format('')}], 1::BIGINT FROM m WHERE n = 1
+  UNION ALL
+  SELECT g, n, CASE WHEN hit IS NULL THEN list_append(heads, me) ELSE heads END, coalesce(hit, len(heads) + 1) FROM (
+    SELECT d.g, d.n, heads, {me.format('d.')} AS me, nullif(list_position(list_transform(heads, lambda h: {same('mandatory')} AND {same('conditional')} AND {same('day')} AND NOT (d.category = 'unknown' AND NOT list_has_any(h.words, d.words))), true), 0)::BIGINT AS hit
+    FROM f JOIN m d ON d.g = f.g AND d.n = f.n + 1))
+SELECT contract_id, ordinal, count(*) OVER (PARTITION BY g, c) AS merged FROM m JOIN f USING (g, n)
+QUALIFY row_number() OVER (PARTITION BY g, c ORDER BY {_RANK}, ordinal) = 1
+"""
 
 
 def contract_durations(spark: SparkSession, d: str) -> DataFrame:
@@ -355,6 +383,7 @@ def oracle_sql() -> dict[str, str]:
         "single_currency_backfill": f"SELECT contract_id, ordinal, coalesce(currency, CASE WHEN amount IS NOT NULL AND min(currency) {w} = max(currency) {w} THEN max(currency) {w} END) AS currency FROM {_SQL_VIEW}",
         "currency_distribution": f"SELECT contract_id, string_agg(currency || ': ' || n, ', ' ORDER BY n DESC, currency) AS distribution FROM (SELECT contract_id, currency, count(*) AS n FROM {_SQL_VIEW} WHERE currency IS NOT NULL GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 1",
         "conflict_resolution": _CONFLICT_SQL,
+        "structural_dedupe": _fold_sql(),
         "contract_durations": "SELECT l_orderkey AS contract_id, CAST(date_diff('day', min(CAST(l_shipdate AS DATE)), max(CAST(l_shipdate AS DATE))) AS INTEGER) AS days FROM lineitem GROUP BY 1",
         "installment_mode": _MODE_SQL,
         "question_signals": _signals_sql(),

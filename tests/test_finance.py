@@ -1,5 +1,7 @@
 """Golden contracts: the figures that the engine must give."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,53 @@ def test_restatements_merge_with_the_first_of_a_cluster(spark):
     assert sum(got.values()) == 6 and len(got) == 3 and got[4] == 2 and got[3] == 1
 
 
+def test_many_restatements_under_one_contract(spark):
+    """100,000 rows of one placeholder contract: few variants, and rows that merge with nothing."""
+    n = F.col("id")
+    rows = spark.range(100_000, numPartitions=8).select(
+        F.lit("c").alias("contract_id"), n.alias("ordinal"), F.lit("obligation").alias("target_kind"), F.lit(None).cast("string").alias("special_key"),
+        F.when(n % 2 == 0, "deposit").otherwise("unknown").alias("category"), F.lit("monthly").alias("frequency"), F.lit("SAR").alias("currency"), (n % 4 * 1.0).alias("amount"),
+        F.when(n % 100 == 1, " ").when(n % 2 == 1, F.concat(F.lit("word "), (n % 7).cast("string"))).otherwise("x").alias("label"), F.lit("e").alias("evidence"), F.lit("extracted_number").alias("source_kind"),
+        F.concat(F.lit("f"), n).alias("source_field"), F.lit("low").alias("confidence"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("mandatory"), F.lit(None).cast("boolean").alias("conditional"), F.lit(None).cast("string").alias("start_date"),
+    )
+    got = finance.deduplicate(rows).collect()
+    # row by row: 1,000 rows have an unnamed category and no word, all other unnamed ones share a word
+    heads, sizes = {}, Counter()
+    for i in range(100_000):
+        flag = {0: True, 1: False, 2: None}[i % 3]
+        clusters = heads.setdefault(i % 4, [])
+        at = next((k for k, (other, bare) in enumerate(clusters) if not bare and i % 100 != 1 and (flag is None or other is None or flag == other)), len(clusters))
+        if at == len(clusters):
+            clusters.append((flag, i % 100 == 1))
+        sizes[i % 4, at] += 1
+    assert Counter(r["merged"] for r in got) == Counter(sizes.values())
+
+
+def test_audit_lists_each_excluded_value_once(frame):
+    notes = {}
+    for r in contracts.calculation_audit(frame).collect():
+        notes.setdefault(r["contract_id"], []).append(tuple(r)[1:])
+    assert set(notes) == {c[0] for c in GOLDEN}
+    messy = notes["messy"]
+    assert sorted((v, f, d) for k, _, v, f, d in messy if k == "conflict") == [(1750.0, "financialObligations[2]", "financialObligations[0]")]
+    assert ("warning", "contract_currency_ambiguous", None, None, "MIXED_CURRENCY") in messy
+    assert ("excluded", "currency_unresolved", 80000.0, "typeDetails.financedAmount", None) in messy
+    assert ("formula", "ratios.totalCostIncrease", 40.0, None, "financingCost ÷ principal × 100") in notes["auto"]
+    assert ("excluded", "deposit_refundability_unresolved", 2000.0, "typeDetails.securityDeposit", None) in notes["lease"]
+    for rows in notes.values():
+        excluded = [n for n in rows if n[0] == "excluded"]
+        assert len(excluded) == len(set(excluded))
+    assert contracts.calculation_audit(frame.limit(0)).count() == 0
+
+
+def test_totals_and_estimates(metrics):
+    assert metrics["auto"]["estimated_cost"] == (145200.0, "SAR", "known") and metrics["auto"]["difference_amount"]["status"] == "unavailable"
+    assert metrics["auto"]["totals_by_currency"] == [("SAR", 145200.0)]
+    assert [t["currency"] for t in metrics["messy"]["totals_by_currency"]] == ["SAR", "USD"]
+    assert metrics["empty"]["totals_by_currency"] is None and metrics["empty"]["unquantified_contingent"] is None
+    assert metrics["percent"]["unquantified_contingent"] is True
+
+
 def test_budgets(spark):
     schema = "monthly_income double, essential_expenses double, existing_debt double, savings double, monthly_commitment double, upfront_costs double"
     rows = spark.createDataFrame([(8000.0, 4000.0, 1000.0, None, 3000.0, None), (10000.0, 3000.0, 500.0, 15000.0, 2000.0, 4050.0), (6000.0, 2000.0, 500.0, 5000.0, None, 1000.0)], schema)
