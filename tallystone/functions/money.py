@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,13 @@ RECURRING = tuple(MONTHLY_FACTORS)
 DIFFERENCES = ((0.005, "match"), (0.02, "rounding"), (0.1, "warning"))
 
 
-def first_match(text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
-    """The first name whose list has a phrase in the text; null if none has."""
-    return F.coalesce(*[F.when(contains_any(text, words), name) for name, words in lists.items()])
+Test = Callable[[Column, tuple[str, ...]], Column]
+
+
+def first_match(text: Column, lists: dict[str, tuple[str, ...]], has: Test = contains_any) -> Column:
+    """The first name whose list has a phrase in the text; null if none has. Here and below ``has`` is
+    ``has_any`` for texts that are normalised already."""
+    return F.coalesce(*[F.when(has(text, words), name) for name, words in lists.items()])
 
 
 def joined(*texts: Column) -> Column:
@@ -25,48 +31,48 @@ def joined(*texts: Column) -> Column:
     return F.concat_ws(" ", *texts)
 
 
-def frequency_of(raw: Column) -> Column:
-    return first_match(raw, L.FREQUENCIES)
+def frequency_of(raw: Column, has: Test = contains_any) -> Column:
+    return first_match(raw, L.FREQUENCIES, has)
 
 
-def obligation_type(frequency: Column, *texts: Column) -> Column:
-    by_text = first_match(joined(*texts), L.OBLIGATION_TYPES)
+def obligation_type(frequency: Column, *texts: Column, has: Test = contains_any) -> Column:
+    by_text = first_match(joined(*texts), L.OBLIGATION_TYPES, has)
     return F.coalesce(by_text, F.when(frequency.isin(*RECURRING), "recurring_payment"), F.when(frequency == "one_time", "one_time_payment"), F.lit("unknown"))
 
 
-def fee_type(*texts: Column) -> Column:
-    return F.coalesce(first_match(joined(*texts), L.FEE_TYPES), F.lit("other"))
+def fee_type(*texts: Column, has: Test = contains_any) -> Column:
+    return F.coalesce(first_match(joined(*texts), L.FEE_TYPES, has), F.lit("other"))
 
 
-def penalty_type(*texts: Column) -> Column:
-    return F.coalesce(first_match(joined(*texts), L.PENALTY_TYPES), F.lit("other"))
+def penalty_type(*texts: Column, has: Test = contains_any) -> Column:
+    return F.coalesce(first_match(joined(*texts), L.PENALTY_TYPES, has), F.lit("other"))
 
 
-def mandatory_in(*texts: Column) -> Column:
+def mandatory_in(*texts: Column, has: Test = contains_any) -> Column:
     """True where stated or nothing is said, false where optional, null where it depends on something."""
     t = joined(*texts)
-    return F.when(contains_any(t, L.SAYS_MANDATORY), True).when(contains_any(t, L.SAYS_OPTIONAL), False).when(contains_any(t, L.SAYS_CONDITIONAL), None).otherwise(True)
+    return F.when(has(t, L.SAYS_MANDATORY), True).when(has(t, L.SAYS_OPTIONAL), False).when(has(t, L.SAYS_CONDITIONAL), None).otherwise(True)
 
 
-def conditional_in(*texts: Column) -> Column:
-    return F.when(contains_any(joined(*texts), L.SAYS_CONDITIONAL), True)
+def conditional_in(*texts: Column, has: Test = contains_any) -> Column:
+    return F.when(has(joined(*texts), L.SAYS_CONDITIONAL), True)
 
 
-def timing_in(*texts: Column) -> Column:
+def timing_in(*texts: Column, has: Test = contains_any) -> Column:
     t = joined(*texts)
-    return F.when(contains_any(t, L.SAYS_DUE_LATER), "due_later").when(contains_any(t, L.SAYS_DUE_NOW), "due_now")
+    return F.when(has(t, L.SAYS_DUE_LATER), "due_later").when(has(t, L.SAYS_DUE_NOW), "due_now")
 
 
-def refundable_in(*texts: Column) -> Column:
+def refundable_in(*texts: Column, has: Test = contains_any) -> Column:
     t = joined(*texts)
-    return F.when(contains_any(t, L.SAYS_NON_REFUNDABLE), False).when(contains_any(t, L.SAYS_REFUNDABLE), True)
+    return F.when(has(t, L.SAYS_NON_REFUNDABLE), False).when(has(t, L.SAYS_REFUNDABLE), True)
 
 
-def says(words: tuple[str, ...], *texts: Column) -> Column:
-    return contains_any(joined(*texts), words)
+def says(words: tuple[str, ...], *texts: Column, has: Test = contains_any) -> Column:
+    return has(joined(*texts), words)
 
 
-def scenario_in(*texts: Column) -> Column:
+def scenario_in(*texts: Column, has: Test = contains_any) -> Column:
     t = joined(*texts)
     lists = {
         "early_settlement_scenario": L.SAYS_EARLY_SETTLEMENT_BALANCE + L.SAYS_EARLY_SETTLEMENT_PAYMENT,
@@ -74,7 +80,7 @@ def scenario_in(*texts: Column) -> Column:
         "cancellation_scenario": L.SAYS_CANCELLATION_SCENARIO,
         "insurance_claim_scenario": L.SAYS_INSURANCE_CLAIM,
     }
-    return first_match(t, lists)
+    return first_match(t, lists, has)
 
 
 def currency_code(raw: Column) -> Column:

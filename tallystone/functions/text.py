@@ -38,10 +38,15 @@ def plain_keyword(keyword: str) -> str:
     return re.sub(r"(^|\s)ال(?=\S)", r"\1", re.sub(f"^[{SPACE}]+|[{SPACE}]+$", "", collapsed).lower())
 
 
-def contains_any(text: Column, keywords: list[str] | tuple[str, ...]) -> Column:
-    """Whether the normalised text holds any normalised keyword as a substring, word or not; one pattern for
+def has_any(label: Column, keywords: list[str] | tuple[str, ...]) -> Column:
+    """Whether a normalised label holds any normalised keyword as a substring, word or not; one pattern for
     all keywords, so that a plan over many lists stays small."""
-    return normalize_label(text).rlike("|".join(rf"\Q{plain_keyword(k)}\E" for k in keywords))
+    return label.rlike("|".join(rf"\Q{plain_keyword(k)}\E" for k in keywords))
+
+
+def contains_any(text: Column, keywords: list[str] | tuple[str, ...]) -> Column:
+    """``has_any`` of a text, which is normalised first."""
+    return has_any(normalize_label(text), keywords)
 
 
 # The marks that are dropped, and the letters that become one another.

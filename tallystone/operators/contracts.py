@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tallystone.functions import money as M
 from tallystone.functions import wordlists as L
+from tallystone.functions.text import has_any, normalize_label
 from tallystone.operators import finance as fin
 from tallystone.session import written
 
@@ -32,6 +33,11 @@ _COLUMNS = (
     "target_kind string, special_key string, category string, label string, amount double, currency string, percentage double, frequency string, n_payments double, start_date string, "
     "mandatory boolean, conditional boolean, refundable boolean, timing string, trigger string, source_kind string, source_field string, evidence string, confidence string"
 )
+_FACT = "code int, label string, trigger string, amount double, unit string, often string, n_payments double, start_date string, is_recurring boolean, place int"
+#: What is the same for all facts of a source.
+_SOURCE = "part string, target_kind string, special_key string, category string, label string, often string, mandatory boolean, conditional boolean, source_kind string, field string, confidence string"
+_TEXTS = ("_own", "_said", "_full")
+TOTALS = {"statedTotalCost": L.SAYS_TOTAL_COST, "statedDueAtSigning": L.SAYS_DUE_AT_SIGNING_TOTAL}
 # What each typed field states: (field, name, label, kind, special key or category, frequency, mandatory, conditional, count of payments).
 DETAILS = {
     "auto_finance": (
@@ -102,32 +108,65 @@ def _candidate(**values: Column) -> Column:
     return F.struct(*[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
 
 
-def _typed() -> Column:
-    """Candidates of the typed fields that a contract of that type fills."""
-    out = []
+def _sources() -> dict[str, tuple]:
+    """By name, what ``_SOURCE`` says of each source of facts, in the order of the sources; a typed field is one."""
+    out = {}
     for kind, fields in DETAILS.items():
-        for field, name, label, target, what, frequency, mandatory, conditional, count in fields:
-            value = M.finite(F.col(f"details.{field}"))
+        for _, name, label, target, what, frequency, mandatory, conditional, _ in fields:
             special = target in ("special", "rate")
-            often = M.frequency_of(F.col(f"details.{frequency}")) if frequency and frequency.endswith("_frequency") else F.lit(frequency)
-            c = _candidate(
-                target_kind=F.lit("special" if special else target), special_key=F.lit(what if special else None), category=F.lit(None if special else what), label=F.lit(label),
-                amount=F.lit(None) if target == "rate" else value, percentage=value if target == "rate" else F.lit(None), frequency=often, mandatory=F.lit(mandatory), conditional=F.lit(conditional),
-                n_payments=F.col(f"details.{count}") if count else F.lit(None), source_kind=F.lit("type_details"), source_field=F.lit(f"typeDetails.{name}"), evidence=F.lit(label), confidence=F.lit("high"),
-            )
-            out.append(F.when((F.col("contract_type") == kind) & value.isNotNull(), c))
-    return F.array(*out)
-
-
-def _obligation(x: Column, i: Column) -> Column:
-    t = x["description"]
-    stated = F.coalesce(M.frequency_of(x["frequency"]), M.frequency_of(t))
-    kind = M.obligation_type(stated, t)
-    conditional = M.conditional_in(t)
-    return _candidate(
-        target_kind=F.lit("obligation"), category=kind, label=t, amount=M.finite(x["amount"]), currency=M.currency_code(x["currency"]), frequency=_once(stated, kind),
-        mandatory=F.coalesce(M.mandatory_in(t), ~F.coalesce(conditional, F.lit(False))), conditional=conditional, refundable=M.refundable_in(t), timing=M.timing_in(t), start_date=x["due_date"],
-        source_kind=F.lit("financial_obligation"), source_field=F.format_string("financialObligations[%d]", i), evidence=t, confidence=F.lit("medium"),
+            often = None if frequency and frequency.endswith("_frequency") else frequency
+            out[f"{kind}.{name}"] = ("typed", "special" if special else target, what if special else None, None if special else what, label, often, mandatory, conditional, "type_details", f"typeDetails.{name}", "high")
+    due, loose = ("financial_obligation", "financialObligations", "medium"), ("extracted_number", "extractedNumbers", "low")
+    listed = lambda part, target, where, key=None: (part, target, key, None, None, None, None, None, *where)
+    out["obligation"] = listed("obligation", "obligation", due)
+    out["fee"] = listed("fee", "fee", ("fee_item", "fees", "medium"))
+    out["penalty"] = listed("penalty", "penalty", ("penalty_item", "penalties", "medium"))
+    out["number"] = listed("number", "obligation", loose)
+    for key in TOTALS:
+        out[f"{key} of obligations"], out[f"{key} of numbers"] = listed(key, "special", due, key), listed(key, "special", loose, key)
+    return out
+
+
+def _facts(code: dict[str, int]) -> Column:
+    """All facts of a contract as written, in the order of the sources; null lists hold none. Totals are looked
+    for in obligations and loose numbers, which come up once more for each kind of total."""
+    fields = [f.strip().split(" ") for f in _FACT.split(",")]
+
+    def fact(**values: Column) -> Column:
+        return F.struct(*[values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+
+    def listed(source: str, **names: str):
+        return lambda x, i: fact(code=F.lit(code[source]), place=i, **({n: x[of] for n, of in names.items()} | {"amount": M.finite(x[names["amount"]])}))
+
+    typed = []
+    for kind, stated in DETAILS.items():
+        for field, name, *_, frequency, _, _, count in stated:
+            value = M.finite(F.col(f"details.{field}"))
+            often = F.col(f"details.{frequency}") if frequency and frequency.endswith("_frequency") else F.lit(None)
+            typed.append(F.when((F.col("contract_type") == kind) & value.isNotNull(), fact(code=F.lit(code[f"{kind}.{name}"]), amount=value, often=often, n_payments=F.col(f"details.{count}") if count else F.lit(None))))
+    text = {"label": "description", "amount": "amount", "unit": "currency"}
+    number = {"label": "label", "amount": "value", "unit": "unit"}
+    parts = [
+        F.array(*typed), F.transform("obligations", listed("obligation", often="frequency", start_date="due_date", **text)), F.transform("fees", listed("fee", is_recurring="is_recurring", **text)),
+        F.transform("penalties", listed("penalty", trigger="condition", **text)), F.transform("numbers", listed("number", **number)),
+    ]
+    for key in TOTALS:
+        parts += [F.transform("obligations", listed(f"{key} of obligations", **text)), F.transform("numbers", listed(f"{key} of numbers", **number))]
+    kind = f"array<struct<{_FACT.replace(' ', ':').replace(',:', ',')}>>"
+    return F.array_compact(F.concat(*[F.coalesce(p, F.array().cast(kind)) for p in parts]))
+
+
+def _read_facts(contracts: DataFrame) -> DataFrame:
+    """A row per fact: what its source says of it beside what it says itself; ``ordinal`` is its place."""
+    sources, kinds = _sources(), [f.strip().split(" ") for f in _SOURCE.split(",")]
+    known = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, kinds, strict=True)]) for row in sources.values()])
+    rows = contracts.select("contract_id", "contract_type", F.posexplode(_facts({name: n for n, name in enumerate(sources)})).alias("ordinal", "f"))
+    rows = rows.withColumn("s", F.get(known, F.col("f.code")))
+    label, rate = F.coalesce("f.label", "s.label"), F.coalesce(F.col("s.special_key") == "rate", F.lit(False))
+    return rows.select(
+        "contract_id", "contract_type", "ordinal", "s.part", "s.target_kind", "s.special_key", "s.category", label.alias("label"), F.coalesce(label, "f.trigger").alias("evidence"), "f.trigger",
+        F.when(~rate, F.col("f.amount")).alias("amount"), F.when(rate, F.col("f.amount")).alias("percentage"), "f.unit", F.coalesce("f.often", "s.often").alias("often"), "f.n_payments", "f.start_date", "f.is_recurring",
+        "s.mandatory", "s.conditional", "s.source_kind", F.concat("s.field", F.coalesce(F.concat(F.lit("["), F.col("f.place").cast("string"), F.lit("]")), F.lit(""))).alias("source_field"), "s.confidence",
     )
 
 
@@ -135,78 +174,71 @@ def _once(frequency: Column, kind: Column) -> Column:
     return F.coalesce(frequency, F.when(kind.isin(*_ONE_TIME_TYPES), "one_time"))
 
 
-def _fee(x: Column, i: Column) -> Column:
-    t = x["description"]
-    often = F.when(~x["is_recurring"], "one_time").otherwise(M.frequency_of(t))
-    return _candidate(
-        target_kind=F.lit("fee"), category=M.fee_type(t), label=t, amount=M.finite(x["amount"]), currency=M.currency_code(x["currency"]), frequency=often, mandatory=M.mandatory_in(t),
-        conditional=M.conditional_in(t), refundable=M.refundable_in(t), timing=M.timing_in(t), source_kind=F.lit("fee_item"), source_field=F.format_string("fees[%d]", i), evidence=t, confidence=F.lit("medium"),
-    )
-
-
-def _penalty(x: Column, i: Column) -> Column:
-    unit = F.lower(F.trim(x["currency"]))
-    percent = F.coalesce(F.contains(unit, F.lit("%")) | F.contains(unit, F.lit("٪")) | unit.isin(*PERCENT_UNITS), F.lit(False))
-    return _candidate(
-        target_kind=F.lit("penalty"), category=M.penalty_type(x["description"], x["condition"]), label=x["description"], amount=F.when(~percent, M.finite(x["amount"])), currency=F.when(~percent, M.currency_code(x["currency"])),
-        percentage=F.when(percent, M.percentage(x["amount"])), conditional=F.lit(True), trigger=x["condition"], source_kind=F.lit("penalty_item"), source_field=F.format_string("penalties[%d]", i),
-        evidence=F.coalesce(x["description"], x["condition"]), confidence=F.lit("medium"),
-    )
-
-
-def _number(x: Column, i: Column) -> Column:
-    code, often = M.currency_code(x["unit"]), M.frequency_of(x["label"])
-    kind = M.obligation_type(often, x["label"])
-    c = _candidate(target_kind=F.lit("obligation"), category=kind, label=x["label"], amount=M.finite(x["value"]), currency=code, frequency=_once(often, kind), source_kind=F.lit("extracted_number"), source_field=F.format_string("extractedNumbers[%d]", i), evidence=x["label"], confidence=F.lit("low"))
-    return F.when(code.isNotNull() & M.finite(x["value"]).isNotNull(), c)
-
-
-def _stated(key: str, words: tuple[str, ...]) -> list[Column]:
-    """Amounts stated as a total, of obligations and of loose numbers."""
-
-    def one(text: str, value: str, unit: str, kind: str, field: str, confidence: str):
-        def make(x: Column, i: Column) -> Column:
-            amount = M.finite(x[value])
-            c = _candidate(target_kind=F.lit("special"), special_key=F.lit(key), label=x[text], amount=amount, currency=M.currency_code(x[unit]), source_kind=F.lit(kind), source_field=F.format_string(f"{field}[%d]", i), evidence=x[text], confidence=F.lit(confidence))
-            return F.when(M.says(words, x[text]) & amount.isNotNull(), c)
-
-        return make
+def extract_candidates(contracts: DataFrame) -> DataFrame:
+    """One row per fact of each contract, read and classified; ``ordinal`` is its place among the contract's facts.
 
-    return [F.transform("obligations", one("description", "amount", "currency", "financial_obligation", "financialObligations", "medium")), F.transform("numbers", one("label", "value", "unit", "extracted_number", "extractedNumbers", "low"))]
+    Facts become rows before they are read, so each text is normalised once: ``_own`` the label,
+    ``_said`` label and evidence, ``_full`` those and the trigger.
+    """
+    rows = _read_facts(contracts)
+    part = F.col("part")
+    rows = rows.withColumn("_own", normalize_label(F.col("label")))
+    own = F.col("_own")
+    stated = F.lit(True)
+    for key, words in TOTALS.items():
+        stated &= (part != key) | (has_any(own, words) & F.col("amount").isNotNull())
+    rows = rows.filter(stated).withColumn("currency", M.currency_code(F.col("unit")))
+    rows = rows.filter((part != "number") | (F.col("currency").isNotNull() & F.col("amount").isNotNull()))
+    rows = rows.withColumns({"_said": normalize_label(M.joined(F.col("label"), F.col("evidence"))), "_full": normalize_label(M.joined(F.col("label"), F.col("evidence"), F.col("trigger")))})
+
+    has = has_any
+    free, listed = part.isin("obligation", "number"), part.isin("obligation", "fee")
+    rows = rows.withColumn("_text_frequency", F.when(free | (part == "fee"), M.frequency_of(own, has)))
+    rows = rows.withColumn("frequency", F.when(part.isin("typed", "obligation"), M.frequency_of(F.col("often"))))
+    typed = F.when(F.col("often") == "one_time", "one_time").otherwise(F.col("frequency"))
+    often = F.when(part == "typed", typed).when(part == "obligation", F.coalesce("frequency", "_text_frequency")).when((part == "fee") & ~F.col("is_recurring"), "one_time").when(free | (part == "fee"), F.col("_text_frequency"))
+    rows = rows.withColumn("frequency", often).withColumn("category", F.when(free, M.obligation_type(F.col("frequency"), own, has=has)).when(part == "fee", M.fee_type(own, has=has)).when(part == "penalty", M.penalty_type(F.col("label"), F.col("trigger"))).otherwise(F.col("category")))
+    unit = F.lower(F.trim(F.col("unit")))
+    percent = (part == "penalty") & F.coalesce(F.contains(unit, F.lit("%")) | F.contains(unit, F.lit("٪")) | unit.isin(*PERCENT_UNITS), F.lit(False))
+    rows = rows.withColumns({"_percent": percent, "_conditional": F.when(listed, M.conditional_in(own, has=has)), "_mandatory": F.when(listed, M.mandatory_in(own, has=has))})
+    rows = rows.withColumns({
+        "frequency": F.when(free, _once(F.col("frequency"), F.col("category"))).otherwise(F.col("frequency")),
+        "percentage": F.when(F.col("_percent"), M.percentage(F.col("amount"))).otherwise(F.col("percentage")),
+        "currency": F.when(~F.col("_percent"), F.col("currency")), "amount": F.when(~F.col("_percent"), F.col("amount")),
+        "mandatory": F.when(part == "obligation", F.coalesce("_mandatory", ~F.coalesce("_conditional", F.lit(False)))).when(part == "fee", F.col("_mandatory")).otherwise(F.col("mandatory")),
+        "conditional": F.when(listed, F.col("_conditional")).when(part == "penalty", True).otherwise(F.col("conditional")),
+        "refundable": F.when(listed, M.refundable_in(own, has=has)), "timing": F.when(listed, M.timing_in(own, has=has)),
+    })
+    return rows.select("contract_id", "contract_type", "ordinal", *[f.strip().split(" ")[0] for f in _COLUMNS.split(",")], *_TEXTS)
 
 
-def extract_candidates(contracts: DataFrame) -> DataFrame:
-    """One row per fact of each contract, in the order of the sources; null lists hold none."""
-    parts = [_typed(), F.transform("obligations", _obligation), F.transform("fees", _fee), F.transform("penalties", _penalty), F.transform("numbers", _number), *_stated("statedTotalCost", L.SAYS_TOTAL_COST), *_stated("statedDueAtSigning", L.SAYS_DUE_AT_SIGNING_TOTAL)]
-    kind = f"array<struct<{_COLUMNS.replace(' ', ':').replace(',:', ',')}>>"
-    everything = F.array_compact(F.concat(*[F.coalesce(p, F.array().cast(kind)) for p in parts]))
-    rows = contracts.select("contract_id", "contract_type", F.posexplode(everything).alias("ordinal", "c"))
-    return rows.select("contract_id", "contract_type", "ordinal", "c.*")
+def _says(words: tuple[str, ...], text: str = "_said") -> Column:
+    return has_any(F.col(text), words)
 
 
 def assign_roles(candidates: DataFrame) -> DataFrame:
     """``role`` (what the amount is) and ``context`` (on which path it falls due)."""
-    text = (F.col("label"), F.col("evidence"))
-    scenario = M.scenario_in(*text, F.col("trigger"))
+    rows = candidates.withColumn("_scenario", M.scenario_in(F.col("_full"), has=has_any))
+    scenario = F.col("_scenario")
     sure = fin.guaranteed(F.col("mandatory"), F.col("conditional"))
     role = (
         F.when(F.col("special_key").isNotNull(), _lookup(SPECIAL_ROLES, F.col("special_key")))
         .when(F.col("target_kind") == "fee", F.when(sure, "mandatory_fee").otherwise("conditional_fee"))
         .when(F.col("target_kind") == "penalty", "penalty")
-        .when(M.says(L.SAYS_ASSET_VALUE, *text), "asset_value")
-        .when(M.says(L.SAYS_TOTAL_COST, *text), "reference_value")
-        .when(scenario.isNotNull(), F.when(M.says(L.SAYS_EARLY_SETTLEMENT_BALANCE, *text), "scenario_balance").otherwise("scenario_payment"))
+        .when(_says(L.SAYS_ASSET_VALUE), "asset_value")
+        .when(_says(L.SAYS_TOTAL_COST), "reference_value")
+        .when(scenario.isNotNull(), F.when(_says(L.SAYS_EARLY_SETTLEMENT_BALANCE), "scenario_balance").otherwise("scenario_payment"))
         .otherwise(F.coalesce(_lookup(TYPE_ROLES, F.col("category")), F.lit("unknown")))
     )
-    out = candidates.withColumn("role", role)
+    out = rows.withColumn("role", role)
     reference = F.col("role").isin("asset_value", "reference_value")
-    return out.withColumn("context", F.coalesce(scenario, F.when(reference, "reference_only"), F.lit("normal_contract_path")))
+    return out.withColumn("context", F.coalesce(scenario, F.when(reference, "reference_only"), F.lit("normal_contract_path"))).drop("_scenario")
 
 
 def reclassify_rent(candidates: DataFrame) -> DataFrame:
     """In a lease, an annual amount of twelve monthly rents under a rent label restates the rent."""
     monthly = F.max(F.when(F.col("source_field") == "typeDetails.monthlyRent", F.col("amount"))).over(Window.partitionBy("contract_id"))
-    same = (F.col("contract_type") == "lease") & (F.col("target_kind") == "obligation") & (F.col("frequency") == "annual") & (F.abs(F.col("amount") - monthly * 12) <= CENT) & M.says(RENT_WORDS, F.col("label"), F.col("evidence"))
+    same = (F.col("contract_type") == "lease") & (F.col("target_kind") == "obligation") & (F.col("frequency") == "annual") & (F.abs(F.col("amount") - monthly * 12) <= CENT) & _says(RENT_WORDS)
     return _become(candidates, F.coalesce(same, F.lit(False)), "recurringEquivalent")
 
 
@@ -220,13 +252,12 @@ def reclassify_employment(candidates: DataFrame) -> DataFrame:
     """In an employment contract: benefits and bonuses aren't costs, allowances are parts of the salary,
     and the guaranteed income is the stated total if the parts add up to it, else their sum."""
     job = F.col("contract_type") == "employment"
-    text = (F.col("label"), F.col("evidence"))
     payable = job & F.col("target_kind").isin("obligation", "fee")
-    benefit = payable & M.says(L.SAYS_NON_CASH_BENEFIT, *text)
-    bonus = payable & ~benefit & M.says(L.SAYS_CONDITIONAL_COMPENSATION, *text)
-    rows = candidates.withColumns({"_benefit": benefit, "_bonus": bonus, "_total": payable & ~benefit & ~bonus & M.says(L.SAYS_STATED_TOTAL_COMPENSATION, *text)})
-    rows = rows.withColumn("_part", payable & ~F.col("_benefit") & ~F.col("_bonus") & ~F.col("_total") & M.says(L.SAYS_COMPENSATION_COMPONENT, *text))
-    entitled = job & (F.col("target_kind") == "penalty") & M.says(L.SAYS_EMPLOYEE_ENTITLEMENT, *text, F.col("trigger"))
+    benefit = payable & _says(L.SAYS_NON_CASH_BENEFIT)
+    bonus = payable & ~F.col("_benefit") & _says(L.SAYS_CONDITIONAL_COMPENSATION)
+    rows = candidates.withColumn("_benefit", benefit).withColumn("_bonus", bonus).withColumns({"_total": payable & ~F.col("_benefit") & ~F.col("_bonus") & _says(L.SAYS_STATED_TOTAL_COMPENSATION)})
+    rows = rows.withColumn("_part", payable & ~F.col("_benefit") & ~F.col("_bonus") & ~F.col("_total") & _says(L.SAYS_COMPENSATION_COMPONENT))
+    entitled = job & (F.col("target_kind") == "penalty") & _says(L.SAYS_EMPLOYEE_ENTITLEMENT, "_full")
     role = F.when(F.col("_benefit"), "non_cash_benefit").when(F.col("_bonus") | entitled, "conditional_income").otherwise(F.col("role"))
     rows = rows.withColumn("role", role).withColumns({"conditional": F.when(F.col("_bonus"), True).otherwise(F.col("conditional")), "mandatory": F.when(F.col("_benefit") | F.col("_bonus"), False).otherwise(F.col("mandatory"))})
     rows = _become(_become(rows, F.col("_total"), "statedTotalCompensation"), F.col("_part"), "salaryComponent").drop("_benefit", "_bonus", "_total", "_part")
@@ -248,7 +279,7 @@ def reclassify_employment(candidates: DataFrame) -> DataFrame:
         source_kind=F.lit("type_details"), source_field=F.lit("employment.guaranteedMonthlyIncome"), evidence=F.when(of_total, F.col("t.label")).otherwise("sum of guaranteed salary components"), confidence=F.lit("high"),
     )
     canonical = sums.filter(F.col("parts").isNotNull() | F.col("t").isNotNull()).select("contract_id", "contract_type", "ordinal", income.alias("c")).select("contract_id", "contract_type", "ordinal", "c.*", F.lit("income").alias("role"), F.lit("normal_contract_path").alias("context"))
-    return rows.unionByName(canonical)
+    return rows.drop(*_TEXTS).unionByName(canonical)
 
 
 def ranked_candidates(contracts: DataFrame) -> DataFrame:
@@ -258,7 +289,8 @@ def ranked_candidates(contracts: DataFrame) -> DataFrame:
     w = Window.partitionBy("contract_id")
     rows = rows.withColumn("contract_currency", F.when(F.min("currency").over(w) == F.max("currency").over(w), F.max("currency").over(w)))
     rows = rows.withColumn("currency", F.coalesce("currency", F.when(F.col("amount").isNotNull(), F.col("contract_currency"))))
-    rows = fin.ranked_rivals(fin.deduplicate(rows))
+    # written, as the clusters are formed of these rows and led back to them
+    rows = fin.ranked_rivals(fin.deduplicate(written(rows, "agreement-classified")))
     scheduled = F.when(F.col("frequency").isin(*M.RECURRING), "recurring_outflow").when(F.col("timing") == "due_now", "upfront_liquidity").otherwise("one_time_outflow")
     role = (
         F.when(F.col("role").isin("scheduled_payment", "mandatory_fee"), scheduled)

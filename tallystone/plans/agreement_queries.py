@@ -15,7 +15,7 @@ from tallystone.functions.text import plain_keyword
 from tallystone.operators import contracts as C
 from tallystone.operators import finance as fin
 from tallystone.plans.finance_queries import _combine, _flat, _sum_sql
-from tallystone.session import table
+from tallystone.session import table, written
 
 TYPES = (*C.DETAILS, "other")
 OBLIGATIONS = (
@@ -113,13 +113,13 @@ _PLAIN = (
 
 
 def financial_metrics(spark: SparkSession, d: str) -> DataFrame:
-    out = C.financial_metrics(agreements(spark, d))
+    out = C.financial_metrics(written(agreements(spark, d), "agreements"))
     totals = F.array_join(F.transform("totals_by_currency", lambda t: F.concat(t["currency"], F.lit(" "), F.format_string("%.2f", t["total"]))), ", ")
     return out.select(*_PLAIN, F.col("estimated_cost.status").alias("cost_status"), totals.alias("totals_by_currency"), *_flat(out, *_MONEY))
 
 
 def calculation_audit(spark: SparkSession, d: str) -> DataFrame:
-    return C.calculation_audit(agreements(spark, d))
+    return C.calculation_audit(written(agreements(spark, d), "agreements"))
 
 
 def _q(value: str | None) -> str:
