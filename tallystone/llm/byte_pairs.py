@@ -14,7 +14,8 @@ SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 MAX_VOCABULARY_BYTES = 32 << 20
 #: Characters of a run that the split pattern is trusted with: its look-ahead walks back through a run of white space.
 LONG_RUN = 1000
-_LONG_SPACE = re.compile(rf"\s{{{LONG_RUN},}}")
+#: White space as the split pattern knows it, without the four separators that only Python counts.
+_LONG_SPACE = re.compile(rf"[^\S\x1c-\x1f]{{{LONG_RUN},}}")
 #: Characters of a text encoded at a time.
 PIECE = 1 << 18
 _BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
@@ -56,6 +57,12 @@ def ranks_of_json(data: bytes) -> dict[bytes, int]:
     return {bytes(of[c] for c in entry): i for entry, i in model["vocab"].items() if i not in special}
 
 
+def _may_run(text: str) -> bool:
+    """Whether a run of LONG_RUN spaces is possible: such a run covers one of the slices that are looked at."""
+    half = LONG_RUN // 2
+    return any(text[at : at + half].isspace() for at in range(half - 1, len(text), half))
+
+
 class ByteEncoding:
     """Ids of texts under a byte-level vocabulary; strings of special tokens are plain text."""
 
@@ -71,7 +78,7 @@ class ByteEncoding:
         The pattern leaves the last character of such a run to what follows it, so the run is cut before
         that; before a run it always cuts. The ids are those of the whole text.
         """
-        if len(text) < LONG_RUN:
+        if not _may_run(text):
             return self._inner.encode_ordinary(text)
         ids: list[int] = []
         at = 0

@@ -179,7 +179,7 @@ def test_encoding_of_long_runs_and_pieces():
     plain, own, rng = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json"), byte_pairs.json_encoding(told), random.Random(1)
     plain.encode_special_tokens = True
     for _ in range(40):
-        text = "".join(rng.choice(["a", "B ", " ", "\n", "\t", " 12", "é", " ", "　", "!", "'s", "<|endoftext|>", " " * 1200, "\n" * 1001, "x" * 1500]) for _ in range(40))
+        text = "".join(rng.choice(["a", "B ", " ", "\n", "\t", " 12", "é", " ", "　", "!", "'s", "<|endoftext|>", " " * 1200, "\n" * 1001, " " * 998 + "\x1c", "\x85 " * 600, "x" * 1500]) for _ in range(40))
         assert own.encode_ordinary(text) == plain.encode(text, add_special_tokens=False).ids
         pieces = list(byte_pairs.word_pieces(text, 50))
         assert "".join(pieces) == text and sum(map(own.encode_ordinary, pieces), []) == own.encode_ordinary(text)
