@@ -262,24 +262,30 @@ def reclassify_employment(candidates: DataFrame) -> DataFrame:
     rows = rows.withColumn("role", role).withColumns({"conditional": F.when(F.col("_bonus"), True).otherwise(F.col("conditional")), "mandatory": F.when(F.col("_benefit") | F.col("_bonus"), False).otherwise(F.col("mandatory"))})
     rows = _become(_become(rows, F.col("_total"), "statedTotalCompensation"), F.col("_part"), "salaryComponent").drop("_benefit", "_bonus", "_total", "_part")
 
+    rows = rows.drop(*_TEXTS)
+
     known = F.col("amount").isNotNull()
     part, total = known & (F.col("special_key") == "salaryComponent"), known & (F.col("special_key") == "statedTotalCompensation")
-    first = lambda value, where: F.min_by(value, F.when(where, F.col("ordinal")))
-    sums = rows.filter(job).groupBy("contract_id", "contract_type").agg(
-        F.sum(F.when(part, F.col("amount").cast("decimal(38,6)"))).cast("double").alias("parts"),
-        first(F.col("currency"), part & F.col("currency").isNotNull()).alias("part_currency"),
-        first(F.struct("amount", "currency", "label"), total).alias("t"),
-        (F.max("ordinal") + 1).alias("ordinal"),
-    )
-    agrees = F.coalesce(F.abs(F.col("t.amount") - F.col("parts")) <= CENT, F.lit(False))
-    of_total = agrees | F.col("parts").isNull()
-    income = _candidate(
-        target_kind=F.lit("special"), special_key=F.lit("monthlyIncome"), label=F.lit("Guaranteed monthly employment income"), amount=F.when(of_total, F.col("t.amount")).otherwise(F.col("parts")),
-        currency=F.when(agrees, F.coalesce("t.currency", "part_currency")).when(F.col("parts").isNull(), F.col("t.currency")).otherwise(F.col("part_currency")), frequency=F.lit("monthly"), mandatory=F.lit(True), conditional=F.lit(False),
-        source_kind=F.lit("type_details"), source_field=F.lit("employment.guaranteedMonthlyIncome"), evidence=F.when(of_total, F.col("t.label")).otherwise("sum of guaranteed salary components"), confidence=F.lit("high"),
-    )
-    canonical = sums.filter(F.col("parts").isNotNull() | F.col("t").isNotNull()).select("contract_id", "contract_type", "ordinal", income.alias("c")).select("contract_id", "contract_type", "ordinal", "c.*", F.lit("income").alias("role"), F.lit("normal_contract_path").alias("context"))
-    return rows.drop(*_TEXTS).unionByName(canonical)
+    w = Window.partitionBy("contract_id")
+    first = lambda value, where: F.min_by(value, F.when(where, F.col("ordinal"))).over(w)
+    rows = rows.withColumns({
+        "_parts": F.when(job, F.sum(F.when(part, F.col("amount").cast("decimal(38,6)"))).over(w).cast("double")), "_currency": first(F.col("currency"), part & F.col("currency").isNotNull()),
+        "_t": F.when(job, first(F.struct("amount", "currency", "label"), total)), "_last": F.max("ordinal").over(w),
+    })
+    agrees = F.coalesce(F.abs(F.col("_t.amount") - F.col("_parts")) <= CENT, F.lit(False))
+    of_total = agrees | F.col("_parts").isNull()
+    income = {
+        "ordinal": F.col("ordinal") + 1, "target_kind": F.lit("special"), "special_key": F.lit("monthlyIncome"), "label": F.lit("Guaranteed monthly employment income"), "amount": F.when(of_total, F.col("_t.amount")).otherwise(F.col("_parts")),
+        "currency": F.when(agrees, F.coalesce("_t.currency", "_currency")).when(F.col("_parts").isNull(), F.col("_t.currency")).otherwise(F.col("_currency")), "frequency": F.lit("monthly"), "mandatory": F.lit(True), "conditional": F.lit(False),
+        "source_kind": F.lit("type_details"), "source_field": F.lit("employment.guaranteedMonthlyIncome"), "evidence": F.when(of_total, F.col("_t.label")).otherwise("sum of guaranteed salary components"), "confidence": F.lit("high"),
+        "role": F.lit("income"), "context": F.lit("normal_contract_path"), "contract_id": F.col("contract_id"), "contract_type": F.col("contract_type"),
+    }
+    columns = [(c, kind) for c, kind in rows.dtypes if c not in ("_parts", "_currency", "_t", "_last")]
+    own = F.struct(*[F.col(c) for c, _ in columns])
+    canonical = F.struct(*[income.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns])
+    # the income is a fact of its own, after the contract's last one
+    ends = (F.col("ordinal") == F.col("_last")) & (F.col("_parts").isNotNull() | F.col("_t").isNotNull())
+    return rows.select(F.explode(F.when(ends, F.array(own, canonical)).otherwise(F.array(own))).alias("r")).select("r.*")
 
 
 def ranked_candidates(contracts: DataFrame) -> DataFrame:
