@@ -9,6 +9,7 @@ name the tokens of each link, and their differences at the documents' ends recov
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,14 +31,47 @@ MAX_PAIRS = 2_000_000
 #: Pairs that a task gathers before it gives them on.
 HELD_PAIRS = 1 << 20
 _SPACE = "▁"
+_UNIT = re.compile(" +[^ ]*")
+#: Units that a worker remembers, and the longest of them.
+KNOWN_UNITS, UNIT_CHARS = 1 << 17, 48
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-@lru_cache(maxsize=2)
-def _pieces(model: bytes):
-    import sentencepiece
+class PieceEncoding:
+    """B's ids of a text that begins with the space that B adds itself.
+
+    Where no piece goes on after a space that follows something else, what stands between two such
+    spaces is cut on its own: units that were met before are looked up, up to KNOWN_UNITS short ones
+    at a time. With other vocabularies texts are encoded as they are.
+    """
 
-    return sentencepiece.SentencePieceProcessor(model_proto=model)
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.by_unit = not any(_SPACE in self.model.id_to_piece(i).lstrip(_SPACE) for i in range(self.model.get_piece_size()))
+        self._known: dict[str, list[int]] = {}
+
+    def encode(self, text: str) -> list[int]:
+        if not self.by_unit:
+            return self.model.encode(text[1:])
+        ids: list[int] = []
+        known = self._known
+        for unit in _UNIT.findall(text):
+            found = known.get(unit)
+            if found is None:
+                found = self.model.encode(unit[1:])
+                if len(unit) <= UNIT_CHARS:
+                    if len(known) >= KNOWN_UNITS:
+                        known.clear()
+                    known[unit] = found
+            ids += found
+        return ids
+
+
+@lru_cache(maxsize=2)
+def _pieces(model: bytes) -> PieceEncoding:
+    return PieceEncoding(model)
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -50,7 +84,7 @@ def piece_bytes(piece: str) -> bytes:
 @lru_cache(maxsize=2)
 def token_bytes(a: bytes, b: bytes) -> tuple[list[bytes], list[bytes]]:
     """The bytes of every id of A and of B; an id that no token has is empty."""
-    ranks, model = json_encoding(a).ranks, _pieces(b)
+    ranks, model = json_encoding(a).ranks, _pieces(b).model
     of_a = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         of_a[i] = token
@@ -83,7 +117,7 @@ def _encoded(texts: list[str | None], a: bytes, b: bytes) -> tuple[list[np.ndarr
         ids_a, ids_b, whole = [], [], True
         for piece in word_pieces(" " + text):
             # each piece begins with the space that B adds itself
-            raw, now_a, now_b = piece.encode("utf-8", "replace"), encode(piece), model.encode(piece[1:])
+            raw, now_a, now_b = piece.encode("utf-8", "replace"), encode(piece), model.encode(piece)
             whole = whole and b"".join(map(of_a.__getitem__, now_a)) == raw == b"".join(map(of_b.__getitem__, now_b))
             ids_a.append(np.array(now_a, np.int64))
             ids_b.append(np.array(now_b, np.int64))
