@@ -171,15 +171,6 @@ def test_alignment_in_small_windows(monkeypatch):
         assert told() == whole
 
 
-def test_units_of_pieces_are_those_of_whole_texts(monkeypatch):
-    monkeypatch.setattr(alignment, "KNOWN_UNITS", 20)
-    own, rng = alignment.PieceEncoding(byte_pairs.read_vocabulary(alignment.VOCABULARY_B)), random.Random(3)
-    assert own.by_unit
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "the ", "Token", " ", "  ", "\n", "\t ", "é", "中文", "😀 ", "▁", " ▁", "ｆ", "<0x41>", "\x00", "\xa0", "12 ", "x" * 60]) for _ in range(rng.randrange(1, 40)))
-        assert own.encode(" " + text) == own.model.encode(text)
-
-
 def test_encoding_of_long_runs_and_pieces():
     lines, told = (byte_pairs.read_vocabulary(f"/opt/tokenizers/{n}") for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
     assert byte_pairs.ranks_of_lines(lines) == byte_pairs.ranks_of_json(told)
