@@ -40,7 +40,7 @@ UNION ALL SELECT contract_id, 'missing_information', 'Missing information', 'Mis
 UNION ALL SELECT contract_id, 'important_clause:' || n, 'Clause: ' || title, title || ' — ' || summary, 0.8, 'contractAnalysis.importantClauses[' || n || ']' FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY ordinal) - 1 AS n FROM ({_CLAUSES})) WHERE n < 6)
 SELECT *, 'contract_analysis_engine' AS authority FROM f"""
 
-_HITS = """SELECT conv_id, turn, role, 'c' || turn AS chunk_id, CASE WHEN turn % 2 = 0 THEN 'Section ' || turn END AS section, turn AS chunk_order, CAST(turn AS DOUBLE) / 3 - 0.5 AS score, substr(text, 1, 40) AS excerpt, 'Authority ' || role AS authority,
+_HITS = """SELECT conv_id, turn, role, 'c' || turn AS chunk_id, CASE WHEN turn % 2 = 0 THEN 'Section ' || turn END AS section, turn AS chunk_order, CAST(turn AS DOUBLE) / 3 - 0.5 AS score, text AS excerpt, 'Authority ' || role AS authority,
   'https://law.example/' || turn AS official_source_url, CASE WHEN turn % 3 = 0 THEN 'Article ' || turn END AS article_number, 'Law' AS document_title FROM conversations"""
 
 
@@ -84,9 +84,9 @@ def grounded_context(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of the allow-list, the best of each pool, deduplicated and within the token budget, as text."""
     pools = _allowlist(spark, d).select("conv_id", F.col("source").alias("pool"), "citation", "excerpt", (F.length("citation") / 100).alias("relevance"))
     best = evidence.dedupe_and_rank(pools, ["conv_id", "pool"], "citation", 6, ordinal="citation")
-    fits = evidence.trim_to_budget(best, ["conv_id"], budget=200, ordinal="citation")
+    fits = evidence.trim_to_budget(best, ["conv_id"], budget=400, ordinal="citation")
     ranked = fits.select("conv_id", "pool", "citation", "excerpt", F.expr("row_number() OVER (PARTITION BY conv_id, pool ORDER BY relevance DESC, citation)").alias("rank"))
-    asked = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.substring("text", 1, 30).alias("question"), F.lit("contract_and_legal").alias("route"))
+    asked = table(spark, d, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("question"), F.lit("contract_and_legal").alias("route"))
     return evidence.grounded_context(asked.join(ranked, "conv_id", "left"), "conv_id")
 
 
@@ -94,9 +94,9 @@ _CONTEXT_SQL = f"""WITH a AS ({_ALLOW_SQL}), x AS (SELECT *, length(citation) /
 b AS (SELECT * FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY conv_id, source, citation ORDER BY rel DESC) = 1) QUALIFY row_number() OVER (PARTITION BY conv_id, source ORDER BY rel DESC, citation) <= 6),
 t AS (SELECT *, CAST(ceil(length(excerpt) / 4) AS BIGINT) + 20 AS tk FROM b),
 w AS (SELECT *, sum(tk) OVER (PARTITION BY conv_id) + 50 - coalesce(sum(tk) OVER (PARTITION BY conv_id ORDER BY rel, citation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, row_number() OVER (PARTITION BY conv_id ORDER BY rel DESC, citation DESC) AS last FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, source ORDER BY rel DESC, citation) AS n FROM w WHERE rest <= 200 OR last = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, source ORDER BY rel DESC, citation) AS n FROM w WHERE rest <= 400 OR last = 1),
 l AS (SELECT conv_id, string_agg('[' || upper(substr(source, 1, 1)) || n || '] ' || citation || chr(10) || '--- BEGIN DATA ---' || chr(10) || excerpt || chr(10) || '--- END DATA ---', chr(10) || chr(10) ORDER BY source, n) AS body FROM r GROUP BY 1)
-SELECT c.conv_id, 'Route: contract_and_legal' || chr(10) || chr(10) || 'Question:' || chr(10) || '--- BEGIN DATA ---' || chr(10) || substr(c.text, 1, 30) || chr(10) || '--- END DATA ---' || chr(10) || chr(10) || coalesce(l.body, 'No evidence was found for this question.') AS context
+SELECT c.conv_id, 'Route: contract_and_legal' || chr(10) || chr(10) || 'Question:' || chr(10) || '--- BEGIN DATA ---' || chr(10) || c.text || chr(10) || '--- END DATA ---' || chr(10) || chr(10) || coalesce(l.body, 'No evidence was found for this question.') AS context
 FROM conversations c LEFT JOIN l USING (conv_id) WHERE c.turn = 0"""
 
 

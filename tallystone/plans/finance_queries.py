@@ -340,7 +340,7 @@ _EMPLOYMENT_SQL = _BUDGET_CTE + """ SELECT c_custkey, mode, round(after, 4) AS i
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     risk = F.when(F.col("toxic") == 1, "high").when(F.col("quality") == 0, "medium").when(F.col("doc_id") % 2 == 0, "low")
-    return docs.join(labels, "doc_id").select("source", "doc_id", risk.alias("risk"), presentation.first_sentence(F.col("text")).alias("summary"))
+    return docs.join(labels, "doc_id", "left").select("source", "doc_id", risk.alias("risk"), presentation.first_sentence(F.col("text")).alias("summary"))
 
 
 def worst_risk(spark: SparkSession, d: str) -> DataFrame:
@@ -353,7 +353,7 @@ def tiered_findings(spark: SparkSession, d: str) -> DataFrame:
 
 _RISK = "CASE WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'medium' WHEN doc_id % 2 = 0 THEN 'low' END"
 _FINDINGS_SQL = rf"""SELECT source, doc_id, risk, place, summary FROM (SELECT source, doc_id, {_RISK} AS risk, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE WHEN toxic = 1 THEN 0 ELSE 1 END, doc_id) AS INTEGER) AS place,
-  regexp_replace(CASE WHEN regexp_matches(text, '[.!?؟]') THEN regexp_extract(text, '(?s)^.*?[.!?؟]') ELSE text END, '^\s+|\s+$', '', 'g') AS summary FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 0) WHERE place <= 5"""
+  regexp_replace(CASE WHEN regexp_matches(text, '[.!?؟]') THEN regexp_extract(text, '(?s)^.*?[.!?؟]') ELSE text END, '^\s+|\s+$', '', 'g') AS summary FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 0) WHERE place <= 5"""
 
 
 def json_validate(spark: SparkSession, d: str) -> DataFrame:
@@ -392,7 +392,7 @@ def oracle_sql() -> dict[str, str]:
         "text_classification": _classify_sql(),
         "budget_impact": _BUDGET_SQL,
         "employment_budget_impact": _EMPLOYMENT_SQL,
-        "worst_risk": f"SELECT source, min_by(r, CASE r WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS risk FROM (SELECT source, {_RISK} AS r FROM documents JOIN labels USING (doc_id)) GROUP BY source",
+        "worst_risk": f"SELECT source, min_by(r, CASE r WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS risk FROM (SELECT source, {_RISK} AS r FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY source",
         "tiered_findings": _FINDINGS_SQL,
         "json_validate": "SELECT event_id, k, CASE WHEN k IS NULL THEN 'missing' WHEN k > 90 THEN 'too_large' END AS issue FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)",
     }
