@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.plans import agreement_queries, clause_queries, concept_queries, document_queries, evidence_queries, finance_queries, recovery_queries, source_queries, text_queries, validation_queries
+from tallystone.plans import agreement_queries, clause_queries, concept_queries, document_queries, evidence_queries, finance_queries, recovery_queries, source_queries, store_queries, text_queries, validation_queries
 
-_PARTS = (agreement_queries, text_queries, finance_queries, clause_queries, concept_queries, document_queries, recovery_queries, evidence_queries, source_queries, validation_queries)
+_PARTS = (agreement_queries, text_queries, finance_queries, clause_queries, concept_queries, document_queries, recovery_queries, evidence_queries, source_queries, store_queries, validation_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
