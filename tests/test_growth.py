@@ -21,3 +21,16 @@ def test_a_collection_is_gated_before_it_is_joined(spark):
     actions, told = texts.ingest_collection(sources, stored)
     assert "repeat(" not in _plan(told) and "repeat(" not in _plan(actions)
     assert {r.source_id: (r.status, r.reused, r.embedded) for r in told.collect()} == {0: ("done", 6, 0), 1: ("done", 0, 6), 2: ("done", 0, 6), 3: ("failed", 0, 0)}
+
+
+def test_sessions_are_opened_without_deriving_or_shuffling_texts(spark):
+    rows = spark.range(3).select(F.col("id").alias("session_id"), F.lit("lease").alias("contract_type"), F.repeat(F.lit("a paragraph of some length\n\n"), F.col("id").cast("int")).alias("masked_text"))
+    opened, chunks = texts.index_sessions(rows, F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert "repeat(" not in _plan(opened) and "repeat(" not in _plan(chunks)
+    assert {r.session_id: r.n_chunks for r in opened.collect()} == {1: 1, 2: 2}
+
+
+def test_white_space_is_trimmed_at_the_ends_alone(spark):
+    row = spark.range(1).select(T.trimmed(F.lit("　﻿ \t\na   b \r\n")).alias("t"), T.trimmed(F.lit(" \n")).alias("e")).first()
+    assert (row.t, row.e) == ("a   b", "")
+    assert "regexp" not in _plan(spark.range(1).select(T.trimmed(F.col("id").cast("string"))))
