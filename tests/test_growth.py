@@ -34,3 +34,10 @@ def test_white_space_is_trimmed_at_the_ends_alone(spark):
     row = spark.range(1).select(T.trimmed(F.lit("　﻿ \t\na   b \r\n")).alias("t"), T.trimmed(F.lit(" \n")).alias("e")).first()
     assert (row.t, row.e) == ("a   b", "")
     assert "regexp" not in _plan(spark.range(1).select(T.trimmed(F.col("id").cast("string"))))
+
+
+def test_a_text_is_read_once_for_all_words_of_a_query(spark):
+    rows = spark.createDataFrame([(1, "The deposit, the DEPOSIT! rent-free", None, "src"), (2, "deposits rents", "Article 9", "rent"), (3, None, None, "src")], "id int, text string, article string, title string")
+    scored = rows.select("id", T.legal_keyword_score(F.col("text"), F.col("article"), F.col("title"), F.lit("rent deposit rent free Article 9")).alias("n"))
+    assert {r.id: r.n for r in scored.collect()} == {1: 4, 2: 13, 3: 0}
+    assert "array_contains(filter(" not in _plan(scored)
