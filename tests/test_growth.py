@@ -1,19 +1,23 @@
 """What grew faster than the input in the third round: work that plans repeated, or left to one task."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import text as T
-from tallystone.operators import recovery
-from tallystone.plans import recovery_queries
+from tallystone.operators import contracts
 from tallystone.sources import texts
 
-_SF = "/root/testdata/sf0.001"
-
-
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_text_is_read_once_for_all_words_of_a_query(spark):
+    rows = spark.createDataFrame([(1, "The deposit, the DEPOSIT! rent-free", None, "src"), (2, "deposits rents", "Article 9", "rent"), (3, None, None, "src")], "id int, text string, article string, title string")
+    scored = rows.select("id", T.legal_keyword_score(F.col("text"), F.col("article"), F.col("title"), F.lit("rent deposit rent free Article 9")).alias("n"))
+    assert {r.id: r.n for r in scored.collect()} == {1: 4, 2: 13, 3: 0}
+    assert "array_contains(filter(" not in _plan(scored)
+
+
 def test_a_collection_is_gated_before_it_is_joined(spark):
     said = F.repeat(F.concat(F.lit("Article 1: One\nfirst body\nArticle 2: Two\nbody "), F.col("id").cast("string"), F.lit("\n")), 3)
     sources = spark.range(4).select(F.col("id").alias("source_id"), F.when(F.col("id") < 3, said).alias("text"))
@@ -36,8 +40,13 @@ def test_white_space_is_trimmed_at_the_ends_alone(spark):
     assert "regexp" not in _plan(spark.range(1).select(T.trimmed(F.col("id").cast("string"))))
 
 
-def test_a_text_is_read_once_for_all_words_of_a_query(spark):
-    rows = spark.createDataFrame([(1, "The deposit, the DEPOSIT! rent-free", None, "src"), (2, "deposits rents", "Article 9", "rent"), (3, None, None, "src")], "id int, text string, article string, title string")
-    scored = rows.select("id", T.legal_keyword_score(F.col("text"), F.col("article"), F.col("title"), F.lit("rent deposit rent free Article 9")).alias("n"))
-    assert {r.id: r.n for r in scored.collect()} == {1: 4, 2: 13, 3: 0}
-    assert "array_contains(filter(" not in _plan(scored)
+def test_facts_are_shuffled_once_by_their_contract_and_without_their_texts(spark):
+    one = spark.range(2).select(F.col("id"), F.from_json(F.lit('{"contract_type": "employment", "fees": [{"description": "Housing allowance", "amount": 5, "currency": "SAR"}]}'), contracts.CONTRACT).alias("c"))
+    frame = one.select(F.col("id").cast("string").alias("contract_id"), *[f"c.{n}" for n in one.schema["c"].dataType.names if n != "contract_id"])
+    roles = contracts.assign_roles(contracts.extract_candidates(frame))
+    assert not {"_own", "_said", "_full"} & set(roles.columns)
+    rows = contracts.reclassify_employment(contracts.reclassify_rent(roles))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("contract_id")))
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("Window [") == 2
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    assert {(r.contract_id, r.special_key, r.amount, r.n) for r in rows.collect()} == {(c, k, 5.0, 2) for c in "01" for k in ("salaryComponent", "monthlyIncome")}
