@@ -38,17 +38,19 @@ def number_words(text: Column) -> Column:
     pair, thousand = -2.0, -1.0
     codes = {w: float(v) for w, v in L.NUMBER_WORDS.items()} | dict.fromkeys(L.TWO_THOUSAND, pair) | dict.fromkeys(L.THOUSAND, thousand)
     table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
-    bare = lambda w: F.when(w.startswith("و") & F.map_contains_key(table, F.substring(w, 2, 100)), F.substring(w, 2, 100)).otherwise(w)
-    tokens = F.transform(F.split(F.regexp_replace(text, "[،,()]", " "), f"[{SPACE}]+"), lambda w: F.try_element_at(table, bare(lookup_form(w))))
+    # one pattern finds the number words, with or without "and" before them; only these few are looked up
+    apart = f"[^{SPACE}،,()]"
+    pattern = f"(?<!{apart})و?({'|'.join(codes)})(?!{apart})"
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("part"))
 
     def step(acc: Column, v: Column) -> Column:
         more = F.when(v == pair, 2000.0).when(v == thousand, F.when(acc["part"] > 0, acc["part"]).otherwise(1.0) * 1000).otherwise(0.0)
         return F.struct((acc["total"] + more).alias("total"), F.when(v < 0, 0.0).otherwise(acc["part"] + v).alias("part"))
 
-    percent = _let(lookup_form(text), lambda t: F.greatest(*[t.contains(m) for m in L.PERCENT_WORDS]))
-    found = lambda said: F.when(F.size(said) > 0, F.struct(F.aggregate(said, start, step, lambda acc: acc["total"] + acc["part"]).alias("value"), percent.alias("percent")))
-    return _let(F.filter(tokens, lambda v: v.isNotNull()), found)
+    percent = lambda t: F.greatest(*[t.contains(m) for m in L.PERCENT_WORDS])
+    value = lambda said: F.aggregate(F.transform(said, lambda w: F.element_at(table, w)), start, step, lambda acc: acc["total"] + acc["part"])
+    found = lambda t: _let(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda said: F.when(F.size(said) > 0, F.struct(value(said).alias("value"), percent(t).alias("percent"))))
+    return _let(lookup_form(text), found)
 
 
 def words_in_parentheses(text: Column) -> Column:

@@ -24,7 +24,8 @@ _TEXTS = "SELECT p_partkey, " + " || chr(10) || ".join(_pick(lines, f"p_partkey
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return _view(spark, d, _TEXTS.replace("//", "div"), "part")
+    """The texts, dealt to all cores: a file of keys is small, however much its rows make to do."""
+    return _view(spark, d, _TEXTS.replace("//", "div"), "part").repartition(spark.sparkContext.defaultParallelism)
 
 
 def recovered_values(spark: SparkSession, d: str) -> DataFrame:

@@ -4,9 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import text as T
-from tallystone.operators import contracts
+from tallystone.operators import contracts, recovery
+from tallystone.plans import recovery_queries
 from tallystone.sources import texts
 
+_SF = "/root/testdata/sf0.001"
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -40,6 +44,19 @@ def test_white_space_is_trimmed_at_the_ends_alone(spark):
     assert "regexp" not in _plan(spark.range(1).select(T.trimmed(F.col("id").cast("string"))))
 
 
+def test_recovered_texts_are_dealt_to_all_cores(spark):
+    for query in (recovery_queries.recovered_values, recovery_queries.recovery_notes):
+        assert query(spark, _SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_number_words_are_looked_up_where_they_stand_alone(spark):
+    said = ["واحد وعشرون", "(مائة،ألف)", "مائةألف", "xواحد", "", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    found = rows.select("i", recovery.number_words(F.col("s")).alias("w"))
+    assert {r.i: r.w and r.w.value for r in found.collect()} == {0: 21.0, 1: 100000.0, 2: None, 3: None, 4: None, 5: None}
+    assert "map_contains_key" not in _plan(found)
+
+
 def test_facts_are_shuffled_once_by_their_contract_and_without_their_texts(spark):
     one = spark.range(2).select(F.col("id"), F.from_json(F.lit('{"contract_type": "employment", "fees": [{"description": "Housing allowance", "amount": 5, "currency": "SAR"}]}'), contracts.CONTRACT).alias("c"))
     frame = one.select(F.col("id").cast("string").alias("contract_id"), *[f"c.{n}" for n in one.schema["c"].dataType.names if n != "contract_id"])
