@@ -1,10 +1,12 @@
 """Stored tables whose groups of rows are replaced, upserted and deleted for good.
 
 A table is a folder of Parquet, partitioned by a hash of its key, so that a change rewrites only the buckets of
-the keys it touches. A change is first written whole beside the table (``<path>.pending``) and then overwrites
-those buckets (Spark's dynamic partition overwrite). It states what the rows of its keys are afterwards, so it can
-be run again: after a lost executor Spark repeats the tasks; after a lost driver the next change first finishes
-one whose pending rows are complete, and drops one whose aren't, before which the table was not touched.
+the keys it touches. A change is first written whole beside the table (``<path>.pending``), and once that is
+complete the folders of its buckets are moved in place of the table's, so rows are written once. It states what the rows of
+its keys are afterwards, so it can be run again: after a lost executor Spark repeats the tasks; after a lost driver
+the next change first finishes one whose pending rows are complete (it moves the buckets that are still there), and
+drops one whose aren't, before which the table was not touched. Rows that stay are written by the tasks that read
+their buckets; only new rows are shuffled.
 
 A table has one writer at a time. Every touched bucket holds a row without a key, as a bucket without any row would
 not be overwritten; ``stored`` leaves these rows out. Rows with a null key can't be addressed and aren't written.
@@ -23,6 +25,10 @@ from tallystone.session import written
 #: Buckets of a table; the number is part of a table and stays as it was created. A large table takes thousands:
 #: a change reads and writes whole buckets. Large buckets are written by several tasks (Spark's rebalancing).
 BUCKETS = 64
+#: Changed keys up to which they are broadcast to the rows that stay, some 100 MB; beyond, these are shuffled.
+BROADCAST_KEYS = 1_000_000
+#: Files a bucket has on average, and bytes a file is short of, when a change shuffles the rows that stay too, to join files.
+SCATTERED, SHORT_FILE = 8, 16 << 20
 _BUCKET = "_bucket"
 
 
@@ -50,20 +56,40 @@ def _overwrite(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(path)
 
 
+def _move_buckets(spark: SparkSession, pending: str, path: str) -> bool:
+    """Each bucket's folder in ``pending`` put in place of the table's; False if rows lie there outside of buckets.
+    A bucket leaves ``pending`` only by its move, so this can be run again wherever it stopped."""
+    files, at = _files(spark, pending)
+    found = [status.getPath() for status in files.listStatus(at)]
+    if any(f.getName().startswith("part-") for f in found):
+        return False
+    _, table = _files(spark, path)
+    files.mkdirs(table)
+    for folder in found:
+        if folder.getName().startswith(f"{_BUCKET}="):
+            target = _files(spark, f"{path}/{folder.getName()}")[1]
+            files.delete(target, True)
+            if not files.rename(folder, target):
+                raise OSError(f"could not move {folder} to {target}; the change stays pending")
+    return True
+
+
 def settle(spark: SparkSession, path: str) -> None:
     """Finishes a change that a driver left pending, or drops it where its rows aren't complete."""
     pending = f"{path}.pending"
-    if _exists(spark, f"{pending}/_SUCCESS"):
+    if _exists(spark, f"{pending}/_SUCCESS") and not _move_buckets(spark, pending, path):
         _overwrite(spark.read.parquet(pending), path)
     _remove(spark, pending)
 
 
-def _apply(rows: DataFrame, path: str, touched: list[int]) -> None:
-    """Makes ``rows`` (with their bucket) all that the buckets ``touched`` hold."""
-    spark = rows.sparkSession
+def _apply(new: DataFrame, path: str, touched: list[int], kept: DataFrame | None = None) -> None:
+    """Makes ``new`` and ``kept`` (with their bucket) all that the buckets ``touched`` hold. ``new`` rows are shuffled by
+    bucket; ``kept`` are in the order in which they were read, bucket by bucket, and make no more files than there were."""
+    spark = new.sparkSession
     marks = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in touched])).alias(_BUCKET))
-    whole = rows.unionByName(marks, allowMissingColumns=True).hint("rebalance", F.col(_BUCKET))
-    whole.write.mode("overwrite").parquet(f"{path}.pending")
+    whole = new.unionByName(marks, allowMissingColumns=True).hint("rebalance", F.col(_BUCKET))
+    whole = whole if kept is None else kept.unionByName(whole)
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(_BUCKET).parquet(f"{path}.pending")
     settle(spark, path)
 
 
@@ -79,15 +105,34 @@ def stored(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col(key).isNotNull()).drop(_BUCKET)
 
 
-def change(spark: SparkSession, path: str, key: str, keys: DataFrame, rows_of: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> None:
-    """Rewrites the buckets that the ``keys`` (a column ``key``) fall into; ``rows_of`` makes their rows from the
-    stored ones. The numbers of the buckets, and nothing else, come to the driver."""
+def change(spark: SparkSession, path: str, key: str, keys: DataFrame, rows_of: Callable[[DataFrame], DataFrame], stays: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> None:
+    """Rewrites the buckets that the ``keys`` (a column ``key``) fall into: ``rows_of`` makes rows from the stored
+    ones, and ``stays`` takes those, if any, that are written again as they are, which must not shuffle them. The
+    numbers of the buckets, and nothing else, come to the driver."""
     settle(spark, path)
     touched = sorted(r[0] for r in keys.filter(F.col(key).isNotNull()).select(_bucket(F.col(key), buckets)).distinct().collect())
     if not touched:
         return
+    placed = lambda rows: rows.withColumn(_BUCKET, _bucket(F.col(key), buckets))
     now = spark.read.parquet(path).filter(F.col(_BUCKET).isin(touched) & F.col(key).isNotNull()).drop(_BUCKET)
-    _apply(rows_of(now).withColumn(_BUCKET, _bucket(F.col(key), buckets)), path, touched)
+    _apply(placed(rows_of(now)), path, touched, None if stays is None else placed(stays(now)))
+
+
+def _scattered(spark: SparkSession, path: str, buckets: int) -> bool:
+    """Whether the table lies in many short files, as after many small changes."""
+    files, at = _files(spark, path)
+    held = files.getContentSummary(at)
+    return held.getFileCount() > SCATTERED * buckets and held.getLength() < SHORT_FILE * held.getFileCount()
+
+
+def _change_keys(path: str, key: str, keys: DataFrame, rows_of: Callable[[DataFrame], DataFrame], buckets: int) -> None:
+    """Exchanges all rows of the ``keys``, a written table of distinct ones, for what ``rows_of`` makes of the stored ones.
+    The others stay, unshuffled where the keys are few enough to be broadcast."""
+    others = lambda now, few: now.join(few, key, "left_anti").select(now.columns)
+    if keys.count() <= BROADCAST_KEYS and not _scattered(keys.sparkSession, path, buckets):
+        change(keys.sparkSession, path, key, keys, rows_of, lambda now: others(now, F.broadcast(keys)), buckets)
+    else:
+        change(keys.sparkSession, path, key, keys, lambda now: others(now, keys).unionByName(rows_of(now)), None, buckets)
 
 
 def replace_rows(path: str, key: str, fresh: DataFrame, keys: DataFrame | None = None, buckets: int = BUCKETS) -> None:
@@ -96,25 +141,26 @@ def replace_rows(path: str, key: str, fresh: DataFrame, keys: DataFrame | None =
     fresh = written(fresh, "fresh")
     keys = written((fresh if keys is None else keys).select(key).distinct(), "keys")
     new = fresh.join(keys, key, "left_semi").select(fresh.columns)
-    change(fresh.sparkSession, path, key, keys, lambda now: now.join(keys, key, "left_anti").select(now.columns).unionByName(new), buckets)
+    _change_keys(path, key, keys, lambda now: new.select(now.columns), buckets)
 
 
 def delete_rows(path: str, key: str, gone: DataFrame, buckets: int = BUCKETS) -> None:
     """All rows of the keys in ``gone`` deleted; unknown ones delete nothing."""
     gone = written(gone.select(key).distinct(), "keys")
-    change(gone.sparkSession, path, key, gone, lambda now: now.join(gone, key, "left_anti").select(now.columns), buckets)
+    _change_keys(path, key, gone, lambda now: now.filter(F.lit(False)), buckets)
 
 
 def upsert_rows(path: str, key: str, fresh: DataFrame, version: str = "updated_at", buckets: int = BUCKETS) -> None:
     """One row per key of ``fresh``: the newest by ``version``, of equally new ones the fresh one."""
     fresh = written(fresh, "fresh")
+    keys = written(fresh.select(key).distinct(), "keys")
 
     def newest(now: DataFrame) -> DataFrame:
-        both = now.withColumn("_new", F.lit(0)).unionByName(fresh.filter(F.col(key).isNotNull()).withColumn("_new", F.lit(1)))
+        both = now.join(keys, key, "left_semi").select(now.columns).withColumn("_new", F.lit(0)).unionByName(fresh.filter(F.col(key).isNotNull()).withColumn("_new", F.lit(1)))
         order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.desc("_new"), F.xxhash64(*now.columns))
         return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_new")
 
-    change(fresh.sparkSession, path, key, fresh, newest, buckets)
+    _change_keys(path, key, keys, newest, buckets)
 
 
 def replace_session_chunks(chunks: str, sessions: str, fresh: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> None:
@@ -127,7 +173,7 @@ def replace_session_chunks(chunks: str, sessions: str, fresh: DataFrame, ids: Da
     counts = stored(spark, chunks, "session_id").join(known, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("_stored"))
     told = written(known.join(counts, "session_id", "left").select("session_id", F.coalesce("_stored", F.lit(0)).alias("_stored")), "counts")
     recount = lambda now: now.join(told, "session_id", "left").withColumn("n_chunks", F.coalesce("_stored", "n_chunks")).select(now.columns)
-    change(spark, sessions, "session_id", known, recount, buckets)
+    change(spark, sessions, "session_id", known, recount, buckets=buckets)
 
 
 def delete_sessions(chunks: str, sessions: str, gone: DataFrame, buckets: int = BUCKETS) -> None:
@@ -143,7 +189,7 @@ def delete_expired(spark: SparkSession, chunks: str, sessions: str, now: Column,
     for path, name in ((chunks, "deleted_chunks"), (sessions, "deleted_sessions")):
         over = F.coalesce(F.col("expires_at") <= now, F.lit(False))
         gone = written(stored(spark, path, "session_id").filter(over).groupBy("session_id").agg(F.count("*").alias("n")), "expired")
-        change(spark, path, "session_id", gone, lambda rows, over=over: rows.filter(~over), buckets)
+        change(spark, path, "session_id", gone, lambda rows: rows.filter(F.lit(False)), lambda rows, over=over: rows.filter(~over), buckets)
         counts.append(gone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name)).withColumn("_k", F.lit(0)))
     return counts[1].join(counts[0], "_k").drop("_k")
 
@@ -156,4 +202,4 @@ def disable_source(path: str, source_ids: DataFrame, at: Column, buckets: int =
         both, off = now.join(ids, "source_id", "left"), F.col("_off").isNotNull()
         return both.withColumns({"status": F.when(off, "repealed").otherwise(F.col("status")), "updated_at": F.when(off, at).otherwise(F.col("updated_at"))}).select(now.columns)
 
-    change(ids.sparkSession, path, "source_id", ids, mark, buckets)
+    change(ids.sparkSession, path, "source_id", ids, mark, buckets=buckets)

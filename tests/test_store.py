@@ -49,3 +49,45 @@ def test_a_change_left_pending(spark, tmp_path):
     store.replace_rows(path, "k", spark.createDataFrame([("c", 7)], schema), buckets=1)
     assert _rows(spark, path, "k") == [("a", 5), ("c", 7)], "not complete: dropped"
     assert spark.read.parquet(path).count() == 3 and not (tmp_path / "t.pending").exists()
+
+
+def test_a_move_of_buckets_left_half_done(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "k string, v int"
+    store.create(path, spark.createDataFrame([(c, 1) for c in "abcdefgh"], schema), "k", 4)
+    later = f"{tmp_path}/later"
+    store.create(later, spark.createDataFrame([(c, 2) for c in "abcdefgh"], schema), "k", 4)
+    (tmp_path / "later").rename(tmp_path / "t.pending")
+    (tmp_path / "t.pending" / "_SUCCESS").touch()
+    for b, gone in ((0, True), (1, False)):
+        (tmp_path / "t" / f"_bucket={b}").rename(tmp_path / f"old{b}")
+        if gone:
+            (tmp_path / "t.pending" / f"_bucket={b}").rename(tmp_path / "t" / f"_bucket={b}")
+    assert _rows(spark, path, "k") == [(c, 2) for c in "abcdefgh"]
+    assert not (tmp_path / "t.pending").exists()
+
+
+def test_rows_are_written_once_and_those_that_stay_are_not_shuffled(spark, tmp_path, monkeypatch):
+    path, schema = f"{tmp_path}/t", "k string, v int"
+    monkeypatch.setattr(store, "_overwrite", None)
+    store.create(path, spark.createDataFrame([(f"k{i}", i) for i in range(50)], schema), "k", 4)
+    plans, whole = [], store._apply
+
+    def applied(new, path, touched, kept=None):
+        plans.append("" if kept is None else kept._jdf.queryExecution().executedPlan().toString())
+        whole(new, path, touched, kept)
+
+    monkeypatch.setattr(store, "_apply", applied)
+    files = len(list((tmp_path / "t").glob("*/*.parquet")))
+    few = spark.createDataFrame([("k1", -1), ("k50", -2)], schema)
+    store.replace_rows(path, "k", few, buckets=4)
+    store.delete_rows(path, "k", spark.createDataFrame([("k2",), ("k3",)], "k string"), 4)
+    assert _rows(spark, path, "k") == sorted([(f"k{i}", i) for i in range(50) if i not in (1, 2, 3)] + [("k1", -1), ("k50", -2)])
+    assert len(plans) == 2 and all("Scan parquet" in p and "Exchange hashpartitioning" not in p for p in plans)
+    assert len(list((tmp_path / "t").glob("*/*.parquet"))) <= files + 2 * 4
+    monkeypatch.setattr(store, "SCATTERED", 0)
+    store.delete_rows(path, "k", spark.range(40).select(F.concat(F.lit("unknown"), "id").alias("k")), 4)
+    assert len(list((tmp_path / "t").glob("*/*.parquet"))) == 4, "short files are joined"
+    monkeypatch.setattr(store, "BROADCAST_KEYS", 0)
+    store.replace_rows(path, "k", few, buckets=4)
+    store.delete_rows(path, "k", few, 4)
+    assert len(_rows(spark, path, "k")) == 47
