@@ -16,12 +16,21 @@ _BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 19
 
 
+@lru_cache(maxsize=4)
+def _ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))])) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return up, down
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, or more, of a multiplier modulo 2^64 and of its inverse."""
+    return _ladder(max(2 * PIECE, 1 << (n - 1).bit_length()))
+
+
 @lru_cache(maxsize=1)
 def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bytes_ = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
-    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * PIECE, np.uint64(_BASE))]))
-    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * PIECE, np.uint64(pow(_BASE, -1, 1 << 64)))]))
-    return bytes_, up, down
+    return bytes_, *powers(2 * PIECE)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,9 +89,8 @@ def _runs(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield numbers, pieces
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles of ``width`` words; a text with fewer words
-    has its whole sequence as the only one, a text without words has none."""
+def word_lists(texts: list[str | None]) -> list[np.ndarray]:
+    """The hashes of each text's words, A-Z lower-cased, in order."""
     words: list[list[np.ndarray]] = [[] for _ in texts]
     for numbers, pieces in _runs(texts):
         hashes = word_hashes(b"".join(pieces))
@@ -96,10 +104,15 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         at = np.searchsorted(starts, bounds)
         for k, i in enumerate(numbers):
             words[i].append(hashes[at[k] : at[k + 1]])
+    return [parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts]) for parts in words]
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of ``width`` words; a text with fewer words
+    has its whole sequence as the only one, a text without words has none."""
     factors = np.random.default_rng(13).integers(0, 1 << 64, width, dtype=np.uint64) | np.uint64(1)
     out = []
-    for parts in words:
-        w = parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
+    for w in word_lists(texts):
         n = len(w)
         if not n:
             out.append(w)

@@ -298,6 +298,33 @@ def test_repeats_are_removed(spark, monkeypatch):
     assert sorted((r["n_bytes"], len(r["kept"])) for r in twice) == [(0, 0), (len(long.encode()), 0), (len(long.encode()), 0)]
 
 
+def test_passages_of_over_50_words_mark_their_documents(spark, monkeypatch):
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("qrstuvé") for _ in range(n))
+    passages = [text(51), text(50), text(70), text(120)]  # 51 words have some 160 bytes
+    edited = passages[3].split()
+    edited[60] = "changed"
+    whole, line = text(90), text(51)
+    texts = [f"{text(rng.randrange(80))}\n{p} {text(rng.randrange(80))}" for p in passages for _ in range(3)]
+    texts += [None, "", text(50), text(51), text(300), whole, whole, whole.upper(), f"{line} {line} {line}", "same " * 200, "so " * 200, "so " * 60]
+    texts += [" ".join(edited), passages[2].replace(" ", " \n\t"), text(4000) + " " + passages[0], " ".join(passages[3].split()[:50]), " ".join(passages[3].split()[40:91]), passages[0].replace("a", "A") + " end."]
+    strings = Counter()
+    lists = [(t or "").encode().lower().split() for t in texts]  # A-Z only
+    for w in lists:
+        strings.update({tuple(w[s : s + 51]) for s in range(len(w) - 50)})
+    expected = {i: any(strings[tuple(w[s : s + 51])] > 1 for s in range(len(w) - 50)) for i, w in enumerate(lists)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (suffix_dedup._WORDS_BLOCK, 100):
+        monkeypatch.setattr(suffix_dedup, "_WORDS_BLOCK", block)
+        got = suffix_dedup.remove_repeats(frame).selectExpr("doc_id", "shares_passage", "size(spans) AS n").collect()
+        assert {r["doc_id"]: r["shares_passage"] for r in got} == expected
+    assert any(r["shares_passage"] and not r["n"] for r in got) and 0 < sum(expected.values()) < len(texts)
+    same = spark.createDataFrame([(None, whole), (None, whole), (None, None), (7, line)], "doc_id long, text string")
+    assert sorted(r["shares_passage"] for r in suffix_dedup.remove_repeats(same).collect()) == [False, False, True, True]
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(frame, words=8)
+
+
 def test_token_counts_match_the_encoder(docs, rows, nothing):
     with open(token_counts.VOCABULARY, "rb") as f:
         encoding = token_counts._encoding(f.read())
