@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.llm.sized import shuffled
 from tallystone.session import written
 
 
 def _toward_least(pairs: DataFrame) -> DataFrame:
     """pairs (u, v): for every u the least of u and its v's, beside each v."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(shuffled(least), "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

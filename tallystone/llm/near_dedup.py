@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from tallystone.llm.components import connected_components
 from tallystone.llm.shingles import shingle_sets, signature
-from tallystone.llm.sized import semi_or_anti
+from tallystone.llm.sized import semi_or_anti, shuffled
 from tallystone.session import table, written
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 10, 5, 1
@@ -72,7 +72,7 @@ def _near(threshold: int) -> Column:
 
 
 def _with_signatures(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda p: sets.select(F.col("doc_id").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("symbols").alias(f"{p}_symbols"))
+    side = lambda p: shuffled(sets.select(F.col("doc_id").alias(p), F.col("n_shingles").alias(f"{p}_n"), F.col("symbols").alias(f"{p}_symbols")))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
@@ -83,9 +83,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) -
     text, so a group holds a bounded number of texts.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    dealt = pairs.join(sizes, "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int"))
-    others = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "cell", "b", "text")
-    heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "cell", F.lit(None).cast("long").alias("b"), "text")
+    dealt = pairs.join(shuffled(sizes), "a").withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int"))
+    others = dealt.join(shuffled(texts.withColumnRenamed("doc_id", "b")), "b").select("a", "cell", "b", "text")
+    heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).join(shuffled(texts.withColumnRenamed("doc_id", "a")), "a").select("a", "cell", F.lit(None).cast("long").alias("b"), "text")
     rows = heads.union(others).repartition("a", "cell").sortWithinPartitions("a", "cell", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +133,12 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, signed: DataFrame, thresho
     """
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("n > 2 and lo < hi").select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    mixed = written(members.join(keys, "key"), "near-mixed")
+    mixed = written(members.join(shuffled(keys), "key"), "near-mixed")
     # an id that stands for several sets is shown with each of them; of rows with equal id and set, one
     sketches = signed.select("doc_id", "set_digest", "sketch").dropDuplicates(["doc_id", "set_digest"])
-    shown = sets.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "set_digest", "n_shingles", "symbols").join(sketches, ["doc_id", "set_digest"]).drop("set_digest")
+    shown = sets.join(shuffled(mixed.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "set_digest", "n_shingles", "symbols").join(shuffled(sketches), ["doc_id", "set_digest"]).drop("set_digest")
     spread = (
-        mixed.join(written(shown, "near-shown"), "doc_id")
+        mixed.join(shuffled(written(shown, "near-shown")), "doc_id")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "slot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n_shingles", "symbols", "sketch")
@@ -202,12 +202,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     signed = written(_signed(docs, width), "near-signed")
     # equal sets are one node from here on
     sets = written(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("symbols").alias("symbols")), "near-sets")
-    same_id = signed.filter("n_shingles > 0").select(F.col("doc_id").alias("b"), "set_digest").join(sets.select(F.col("doc_id").alias("a"), "set_digest"), "set_digest").select("a", "b").filter("a <> b")
+    same_id = signed.filter("n_shingles > 0").select(F.col("doc_id").alias("b"), "set_digest").join(shuffled(sets.select(F.col("doc_id").alias("a"), "set_digest")), "set_digest").select("a", "b").filter("a <> b")
     filed = sets.select("doc_id", _keys().alias("slot", "key"))
 
     heads = filed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     # most keys are one document's: what goes on is small
-    shared = written(filed.join(heads, "key").select("key", "slot", "a", "doc_id"), "near-keys")
+    shared = written(filed.join(shuffled(heads), "key").select("key", "slot", "a", "doc_id"), "near-keys")
     stars = shared.select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     stars = written(_with_signatures(stars, sets).filter(_near(threshold)).select("a", "b").distinct(), "near-stars")
 
@@ -221,13 +221,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     linked = written(_confirmed(stars, texts(stars), width, threshold), "near-linked")
     first = written(connected_components(linked), "near-components")
 
-    members = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "slot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    members = shared.join(shuffled(first.withColumnRenamed("node", "doc_id")), "doc_id", "left").select("key", "slot", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     rest = written(_cross_pairs(members, sets, signed, threshold), "near-rest")
     more = written(_confirmed(rest, texts(rest), width, threshold), "near-linked")
-    whole = connected_components(linked.union(more).union(same_id.join(signed.filter("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct("set_digest").alias("d")).filter("d > 1").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
+    several = signed.filter("n_shingles > 0").groupBy("doc_id").agg(F.count_distinct("set_digest").alias("d")).filter("d > 1").select(F.col("doc_id").alias("b"))
+    whole = connected_components(linked.union(more).union(same_id.join(shuffled(several), "b", "left_semi").select("a", "b")))
 
-    nodes = sets.select("set_digest", F.col("doc_id").alias("node")).join(whole, "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_digest").join(nodes, "set_digest", "left")
+    nodes = sets.select("set_digest", F.col("doc_id").alias("node")).join(shuffled(whole), "node", "left").select("set_digest", F.coalesce("component", "node").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "set_digest").join(shuffled(nodes), "set_digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
